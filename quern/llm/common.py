@@ -72,17 +72,25 @@ def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | di
     return df.mapInArrow(run, target)
 
 
-def prefix_sums(df: DataFrame, group: list[str], u: str, ties: list[str], value: str, out: str, rows: int) -> DataFrame:
+def range_of(u: str, rows: int) -> Column:
+    """Which range of about BUCKET_ROWS rows a row falls in; ``u`` is a long from 0 to 2**32 - 1, spread evenly."""
+    n = max(1, -(-rows // BUCKET_ROWS))
+    return F.expr(f"cast(floor({u} * {n}D / 4294967296D) as int)")
+
+
+def range_starts(df: DataFrame, group: list[str], u: str, value: str, rows: int) -> DataFrame:
+    """The sum of ``value`` before each range of ``u`` in each group: as many rows as there are ranges with rows."""
+    sums = df.withColumn("__range", range_of(u, rows)).groupBy(*group, "__range").agg(F.sum(value).alias("__total"))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return cut(sums.withColumn("__before", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total"))
+
+
+def prefix_sums(df: DataFrame, starts: DataFrame, group: list[str], u: str, ties: list[str], value: str, out: str, rows: int) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same group up to this one, in the order of (u, ties).
 
-    ``u`` is a long from 0 to 2**32 - 1, spread evenly. Each group is dealt into ranges of ``u`` of about BUCKET_ROWS
-    rows, so a group of any size is spread over many tasks: sums of the ranges are added up first, then rows inside
-    each range. No row is dropped and the sums are exact.
+    ``starts`` comes from ``range_starts`` over the same rows. A group of any size is spread over many tasks: sums of
+    ranges are added up first, then rows inside each range. No row is dropped and sums are exact.
     """
-    n = max(1, -(-rows // BUCKET_ROWS))
-    df = df.withColumn("__range", F.expr(f"cast(floor({u} * {n}D / 4294967296D) as int)"))
-    sums = df.groupBy(*group, "__range").agg(F.sum(value).alias("__total"))
-    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(sums.withColumn("__before", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total"))
+    df = df.withColumn("__range", range_of(u, rows))
     inside = Window.partitionBy(*group, "__range").orderBy(u, *ties).rowsBetween(Window.unboundedPreceding, 0)
     return lookup(df, starts, [*group, "__range"]).withColumn(out, F.col("__before") + F.sum(value).over(inside)).drop("__before", "__range")
