@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, BUCKET_ROWS, cut, lookup, prefix_sums, range_starts
+from .common import BUCKET_ROWS, cut, lookup, prefix_sums, range_starts
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -13,14 +16,18 @@ CAP = 2
 SEED = "mix-1"
 
 
+def _measured(texts: pa.Array) -> pa.Array:
+    raw = [b or b"" for b in texts.cast(pa.large_binary()).to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([len(b.split()) for b in raw], pa.int64()), pa.array([hashlib.md5(b).hexdigest() for b in raw], pa.string())], ["size", "md5"])
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED) -> DataFrame:
     """``docs`` with __size (words), __order (the shuffle: an MD5 of seed, id and text), __u (its first 32 bits), __source."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({
-        "__size": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
-        "__order": F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary")),
-        "__source": F.col(source_col),
-    }).withColumn("__u", F.conv(F.substring("__order", 1, 8), 16, 10).cast("long"))
+    measure = F.arrow_udf(_measured, "struct<size:bigint,md5:string>").asNondeterministic()
+    seen = docs.withColumn("__m", measure(text_col))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("__m.md5")).cast("binary"))
+    seen = seen.withColumns({"__size": F.col("__m.size"), "__order": order, "__source": F.col(source_col)}).drop("__m")
+    return seen.withColumn("__u", F.conv(F.substring("__order", 1, 8), 16, 10).cast("long"))
 
 
 def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
