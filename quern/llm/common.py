@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Word separators: space, tab, line feed, vertical tab, form feed, carriage return. ``bytes.split()`` splits at the same six.
-BLANK = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
+#: Words are separated by space, tab, line feed, vertical tab, form feed and carriage return. ``bytes.split()`` splits
+#: at these six and no others, so operators split the UTF-8 bytes of a text.
 #: A side is broadcast only when it was counted and has no more rows than this; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 #: Rows that one bucket of a distributed prefix sum holds on average.
@@ -23,25 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in spark.checkpoint.dir and go on from there.
-
-    A folder of this machine is taken only where none is set and Spark runs in this process alone.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="quern-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. A folder of this machine is taken only where none is set and Spark runs in
+    this process alone."""
+    sc = spark.sparkContext
+    now = sc._jsc.sc().getCheckpointDir()
+    if now.isDefined():
+        return now.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of all keys."""
-    return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys))
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there: lost executors cost no step before it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
