@@ -16,6 +16,7 @@ False equalities of hashes only send more pieces to step 3, which compares bytes
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,13 @@ ANCHOR = 16
 SPAN = LENGTH - ANCHOR + 1
 #: Bytes of text of a block of documents, on average.
 BLOCK_BYTES = 2 << 20
-#: Bytes of text for which there is one bucket.
-BUCKET_TEXT = 4 << 20
+#: Bytes of text for which there is one bucket, so that its suffix array mostly stays in the processor's cache.
+BUCKET_TEXT = 1 << 20
 MOST_BUCKETS = 1 << 20
 #: Bytes of pieces in one suffix array.
 SHARD_BYTES = 4 << 20
 DEPTH = 64
+CHUNK = 1 << 16
 _LAST = np.int64(2**63 - 1)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _U32 = np.uint64(32)
@@ -130,30 +132,39 @@ def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, first, last) for each anchor of the texts that lie one after another in ``data`` and end at ``ends``: a hash of its
     16 bytes, and the first and last window whose anchor it is. Windows lie inside one text. A window in which the least
-    hash occurs twice has both anchors."""
+    hash occurs twice has both anchors. Work goes in pieces of CHUNK windows, which stay in the processor's cache; an
+    anchor whose windows lie on both sides of such a border is there twice, each time with its part of them."""
+    found = []
+    for start in range(0, max(0, len(data) - LENGTH + 1), CHUNK):
+        stop = min(start + CHUNK + LENGTH - 1, len(data))
+        inner = ends[np.searchsorted(ends, start, side="right") : np.searchsorted(ends, stop, side="left")]
+        key, first, last = _anchors(data[start:stop], inner - start)
+        found.append((key, first + start, last + start))
+    if not found:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _anchors(data: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``inner``: where texts end inside ``data``."""
     n = len(data)
-    none = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    if n < LENGTH:
-        return none
     word = np.ndarray((n - 7,), dtype="<u8", buffer=data, strides=(1,)).copy()
     h = word[:-8] * _C[0]
     h ^= h >> np.uint64(29)
     h += word[8:] * _C[1]
-    del word
     h ^= h >> _U32
     h *= _C[2]
     h ^= h >> np.uint64(31)
     h |= np.uint64(1)  # never 0
     least = _slide(h, SPAN, np.minimum)  # of n - 49 windows
-    for e in ends[:-1].tolist():  # windows that reach into the next text
+    for e in inner.tolist():  # windows that reach into the next text
         least[max(0, e - LENGTH + 1) : e] = 0
     w = len(least)
     border = np.zeros(SPAN - 1, dtype=np.uint64)
     most = _slide(np.concatenate([border, least, border]), SPAN, np.maximum)  # of the windows around each anchor
     at = np.flatnonzero(most == h)
-    del most
     if not len(at):
-        return none
+        return np.empty(0, dtype=np.uint64), at, at
     key = h[at]
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])  # runs of windows with equal least hash
     value = least[starts]
@@ -163,9 +174,14 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     while len(wrong):  # a run in reach has this anchor's hash, as it was found
         run[wrong] += 1
         wrong = wrong[value[run[wrong]] != key[wrong]]
-    first = np.maximum(starts[run], at - SPAN + 1)
-    last = np.minimum(stops[run], at)
-    return key * _C[3], first, last
+    return key * _C[3], np.maximum(starts[run], at - SPAN + 1), np.minimum(stops[run], at)
+
+
+class Shared(NamedTuple):
+    pieces: list[bytes]
+    least: np.ndarray  #: the smallest document of each piece in this block
+    at: np.ndarray  #: anchors of the block
+    which: np.ndarray  #: the piece of each
 
 
 class Block:
@@ -182,26 +198,25 @@ class Block:
         self.key, self.first, self.last = anchors(self.data, self.ends)
         self.doc = np.searchsorted(self.ends, self.first, side="right")
 
-    def shared(self, keys: np.ndarray, bits: int) -> dict[int, tuple[list[bytes], list[int], list[list[int]]]]:
-        """Of the anchors in ``keys`` (sorted): bucket -> different pieces, the smallest id of each, their occurrences."""
-        found: dict[int, tuple[dict[bytes, int], list[int], list[list[int]]]] = {}
-        short = self.key >> np.uint64(32 - bits)
-        at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, short), len(keys) - 1)] == short) if len(keys) else []
-        if not len(at):
+    def shared(self, keys: np.ndarray, bits: int) -> dict[int, Shared]:
+        """Of the anchors in ``keys`` (sorted), by bucket: the different pieces, and where they occur."""
+        if not len(keys) or not len(self.key):
             return {}
-        bucket = (short[at] >> _U32).tolist()
-        raw = self.raw
-        for k, b, first, last, doc in zip(at.tolist(), bucket, self.first[at].tolist(), self.last[at].tolist(), self.order[self.doc[at]].tolist(), strict=True):
-            pieces, least, where = found.setdefault(b, ({}, [], []))
-            piece = raw[first : last + LENGTH]
-            i = pieces.get(piece)
-            if i is None:
-                pieces[piece] = len(least)
-                least.append(doc)
-                where.append([k])
-            else:
-                where[i].append(k)  # anchors come in the order of documents, so the first has the smallest id
-        return {b: (list(p), least, where) for b, (p, least, where) in found.items()}
+        short = self.key >> np.uint64(32 - bits)
+        at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, short), len(keys) - 1)] == short)
+        bucket = (short[at] >> _U32).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        at, bucket = at[order], bucket[order]
+        edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(at)] if len(at) else [0]
+        found, raw = {}, self.raw
+        for a, b in zip(edges, edges[1:]):
+            here = at[a:b]
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(raw[i:j], len(number)) for i, j in zip(self.first[here].tolist(), (self.last[here] + LENGTH).tolist(), strict=True)])
+            first = np.empty(len(number), dtype=np.int64)
+            first[which[::-1]] = here[::-1]  # anchors come in the order of documents, so a piece's first has the smallest id
+            found[int(bucket[a])] = Shared(list(number), self.order[self.doc[first]], here, which)
+        return found
 
 
 def outline(block: Block, bits: int) -> list[tuple[int, bytes, bytes]]:
@@ -231,29 +246,29 @@ def in_common(hashes: list[bytes], flags: list[bytes]) -> list[bytes]:
     return [h[twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h].tobytes() for h in own]
 
 
+def _windows(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """starts[i] + 0, 1, ... for each of the windows of piece i, piece after piece."""
+    n = lengths - LENGTH + 1
+    return np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
+
+
 def _shard(raw: bytes, lengths: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one suffix array: the class of each window (windows in the order of pieces), and per class its 50 bytes and
-    smallest document; classes are in the order of their bytes."""
+    """Of one suffix array: the class of each window (windows in the order of pieces), and per class a place in ``raw`` and
+    the smallest document; classes are in the order of their bytes."""
     data = np.frombuffer(raw, dtype=np.uint8)
     sa, low = suffix_array(data)
-    equal = common_prefixes(data, sa, low, DEPTH // 2) >= LENGTH
-    group = np.cumsum(~equal) - 1
-    starts = np.cumsum(lengths) - lengths
-    windows = lengths - LENGTH + 1
-    piece = np.repeat(np.arange(len(lengths)), windows)
-    at = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows) + starts[piece]
-    of = np.empty(len(data), dtype=np.int64)
-    of[sa] = group
-    del sa, low, equal, group
-    mine = of[at]
-    order = np.argsort(mine)
-    ordered = mine[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    group = np.cumsum(common_prefixes(data, sa, low, DEPTH // 2) < LENGTH)
+    at = _windows(lengths, np.cumsum(lengths) - lengths)
+    starts = np.zeros(len(data), dtype=bool)
+    starts[at] = True
+    keep = starts[sa]
+    sa, group = sa[keep], group[keep]
+    new = np.concatenate([[True], group[1:] != group[:-1]])
     first = np.flatnonzero(new)
-    least = np.minimum.reduceat(docs[piece[order]], first)
-    number = np.empty(len(mine), dtype=np.int64)
-    number[order] = np.cumsum(new) - 1
-    return number, at[order[first]], least
+    owner = np.repeat(docs, lengths)
+    number = np.empty(len(data), dtype=np.int64)
+    number[sa] = np.cumsum(new) - 1
+    return number[at], sa[first], np.minimum.reduceat(owner[sa], first)
 
 
 def _strings(raw: bytes, at: np.ndarray) -> np.ndarray:
@@ -280,42 +295,46 @@ def merge(sides: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
 
 
 def repeated(raws: list[bytes], lengths: list[np.ndarray], docs: list[np.ndarray], shard_bytes: int = SHARD_BYTES) -> list[bytes]:
-    """For each block's pieces a bit for each window: whether a smaller document has it. Pieces are packed in shards."""
-    shards: list[tuple[bytes, np.ndarray, np.ndarray]] = []
-    held: list[int] = []
-    size = 0
-    for i, raw in enumerate([*raws, None]):
-        if held and (raw is None or size + len(raw) > shard_bytes):
-            shards.append((b"".join(raws[k] for k in held), np.concatenate([lengths[k] for k in held]), np.concatenate([docs[k] for k in held])))
-            held, size = [], 0
-        if raw is not None:
-            held.append(i)
-            size += len(raw)
+    """For each block's pieces a bit for each window: whether a smaller document has it. Equal pieces of several blocks
+    become one, with the smallest of their documents; the different ones are packed in shards."""
+    number: dict[bytes, int] = {}
+    ids = []
+    for raw, n in zip(raws, lengths, strict=True):
+        ends = np.cumsum(n).tolist()
+        ids.append(np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends], ends)]))
+    own = np.concatenate(docs)
+    which = np.concatenate(ids)
+    smallest = np.full(len(number), _LAST)
+    np.minimum.at(smallest, which, own)
+    pieces = list(number)
+    size = np.array([len(p) for p in pieces], dtype=np.int64)
+    edges = np.unique(np.searchsorted(np.cumsum(size), np.arange(shard_bytes, int(size.sum()) + shard_bytes, shard_bytes), side="right").clip(1)).tolist()
+    edges = [0, *edges] if edges[-1] == len(pieces) else [0, *edges, len(pieces)]
+    shards = [(b"".join(pieces[a:b]), size[a:b], smallest[a:b]) for a, b in zip(edges, edges[1:])]
     parts = [_shard(*s) for s in shards]
     if len(parts) > 1:
         least = merge([(_strings(s[0], p[1]), p[2]) for s, p in zip(shards, parts, strict=True)])
     else:
         least = [p[2] for p in parts]
-    removed = np.concatenate([m[p[0]] < np.repeat(s[2], s[1] - LENGTH + 1) for s, p, m in zip(shards, parts, least, strict=True)])
-    edges = np.cumsum([int((n - LENGTH + 1).sum()) for n in lengths])
+    of_window = np.concatenate([m[p[0]] for p, m in zip(parts, least, strict=True)])
+    n = size - LENGTH + 1
+    begin = np.cumsum(n) - n
+    removed = of_window[_windows(size[which], begin[which])] < np.repeat(own, n[which])
+    edges = np.cumsum([int((x - LENGTH + 1).sum()) for x in lengths])
     return [np.packbits(x).tobytes() for x in np.split(removed, edges[:-1])]
 
 
-def marks(block: Block, found: dict[int, tuple[list[bytes], list[int], list[list[int]]]], answers: dict[int, bytes]) -> np.ndarray:
+def marks(block: Block, found: dict[int, Shared], answers: dict[int, bytes]) -> np.ndarray:
     """Windows of the block that a smaller document has, as a boolean for each byte of the block."""
     gone = np.zeros(len(block.data) + 1, dtype=bool)
-    first, last, order = block.first.tolist(), block.last.tolist(), block.order[block.doc].tolist() if len(block.key) else []
-    for bucket, (pieces, least, where) in found.items():
-        bits = np.unpackbits(np.frombuffer(answers[bucket], dtype=np.uint8)).astype(bool)
-        at = 0
-        for piece, smallest, places in zip(pieces, least, where, strict=True):
-            n = len(piece) - LENGTH + 1
-            for k in places:
-                if order[k] > smallest:
-                    gone[first[k] : last[k] + 1] = True
-                else:
-                    gone[first[k] : last[k] + 1] |= bits[at : at + n]
-            at += n
+    for bucket, s in found.items():
+        bits = np.unpackbits(np.frombuffer(answers[bucket], dtype=np.uint8))
+        size = np.array([len(p) for p in s.pieces], dtype=np.int64)
+        n = size - LENGTH + 1
+        begin = np.cumsum(n) - n
+        smaller = block.order[block.doc[s.at]] > s.least[s.which]
+        hit = (bits[_windows(size[s.which], begin[s.which])] > 0) | np.repeat(smaller, n[s.which])
+        gone[_windows(size[s.which], block.first[s.at])[hit]] = True
     return gone
 
 
@@ -379,7 +398,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
             return rows([])
         number = texts.column("block")[0].as_py()
         found = load(texts).shared(common_keys(common), bits)
-        return rows([(number, bucket, b"".join(p), np.array([len(x) for x in p], dtype=np.uint8).tobytes(), np.array(least, dtype=np.int64).tobytes()) for bucket, (p, least, _) in found.items()])
+        return rows([(number, bucket, b"".join(s.pieces), np.array([len(x) for x in s.pieces], dtype=np.uint8).tobytes(), s.least.tobytes()) for bucket, s in found.items()])
 
     def fourth(table: pa.Table) -> pa.Table:
         n = [np.frombuffer(x, dtype=np.uint8).astype(np.int64) for x in table.column("b").to_pylist()]
