@@ -2,10 +2,11 @@
 
 Shards are formed by content, so that equal strings meet in one shard:
 
-1. In every window of 50 bytes the 16-byte substring of least hash is its anchor. Equal windows have equal anchors, and one
-   anchor serves some 18 windows in a row, whose bytes together are a piece of 50 to 84 bytes.
-2. Hashes of anchors, four bytes each, are dealt out by bucket, and each bucket tells which of them occur in
-   two or more documents. Only pieces of those go on, each different piece of a block of documents once.
+1. In every window of 50 bytes the 24-byte substring of least hash is its anchor. Equal windows have equal anchors, and one
+   anchor serves some 14 windows in a row, whose bytes together are a piece of 50 to 76 bytes.
+2. Hashes of anchors, five bytes each, are dealt out by bucket, and each bucket tells which of them occur in
+   two or more documents. Only pieces of those go on, each different piece of a block of documents once. Anchors of very
+   many documents send single windows instead, dealt out by a hash of the window, so that no bucket gets all their pieces.
 3. A bucket builds a suffix array of its pieces (several, if there are many, whose sorted windows are merged by
    binary search), finds equal windows by common prefixes, and with them the smallest document of each window.
 4. Blocks of documents mark the windows that a smaller document has, and cut the bytes these cover.
@@ -16,15 +17,17 @@ False equalities of hashes only send more pieces to step 3, which compares bytes
 from __future__ import annotations
 
 import hashlib
+import zlib
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 50
-ANCHOR = 16
+ANCHOR = 24
 SPAN = LENGTH - ANCHOR + 1
 #: Bytes of text of a block of documents, on average.
 BLOCK_BYTES = 2 << 20
@@ -34,6 +37,8 @@ MOST_BUCKETS = 1 << 20
 #: Bytes of pieces in one suffix array.
 SHARD_BYTES = 4 << 20
 DEPTH = 64
+#: An anchor that so many documents have sends single windows: they take ten times the bytes of pieces, but are spread.
+HOT_DOCS = 200_000
 CHUNK = 1 << 16
 _LAST = np.int64(2**63 - 1)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -131,7 +136,7 @@ def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, first, last) for each anchor of the texts that lie one after another in ``data`` and end at ``ends``: a hash of its
-    16 bytes, and the first and last window whose anchor it is. Windows lie inside one text. A window in which the least
+    bytes, and the first and last window whose anchor it is. Windows lie inside one text. A window in which the least
     hash occurs twice has both anchors. Work goes in pieces of CHUNK windows, which stay in the processor's cache; an
     anchor whose windows lie on both sides of such a border is there twice, each time with its part of them."""
     found = []
@@ -149,11 +154,13 @@ def _anchors(data: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """``inner``: where texts end inside ``data``."""
     n = len(data)
     word = np.ndarray((n - 7,), dtype="<u8", buffer=data, strides=(1,)).copy()
-    h = word[:-8] * _C[0]
+    m = n - ANCHOR + 1
+    h = word[:m] * _C[0]
     h ^= h >> np.uint64(29)
-    h += word[8:] * _C[1]
-    h ^= h >> _U32
-    h *= _C[2]
+    for k in range(8, ANCHOR, 8):
+        h += word[k : k + m] * _C[1]
+        h ^= h >> _U32
+        h *= _C[2]
     h ^= h >> np.uint64(31)
     h |= np.uint64(1)  # never 0
     least = _slide(h, SPAN, np.minimum)  # of n - 49 windows
@@ -180,8 +187,9 @@ def _anchors(data: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Shared(NamedTuple):
     pieces: list[bytes]
     least: np.ndarray  #: the smallest document of each piece in this block
-    at: np.ndarray  #: anchors of the block
-    which: np.ndarray  #: the piece of each
+    start: np.ndarray  #: where in the block pieces occur
+    doc: np.ndarray  #: the document of each occurrence
+    which: np.ndarray  #: the piece of each occurrence
 
 
 class Block:
@@ -198,52 +206,72 @@ class Block:
         self.key, self.first, self.last = anchors(self.data, self.ends)
         self.doc = np.searchsorted(self.ends, self.first, side="right")
 
-    def shared(self, keys: np.ndarray, bits: int) -> dict[int, Shared]:
-        """Of the anchors in ``keys`` (sorted), by bucket: the different pieces, and where they occur."""
-        if not len(keys) or not len(self.key):
-            return {}
+    def shared(self, keys: np.ndarray, hot: np.ndarray, bits: int) -> dict[int, Shared]:
+        """The different pieces of anchors in ``keys`` by bucket, and the windows of anchors in ``hot`` by buckets of their own
+        (negative numbers); ``keys`` and ``hot`` are sorted."""
         short = self.key >> np.uint64(32 - bits)
-        at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, short), len(keys) - 1)] == short)
-        bucket = (short[at] >> _U32).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        at, bucket = at[order], bucket[order]
-        edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(at)] if len(at) else [0]
+        at = np.flatnonzero(_among(short, keys))
+        bucket, start, stop = (short[at] >> _U32).astype(np.int64), self.first[at], self.last[at] + LENGTH
+        at = np.flatnonzero(_among(short, hot))
+        if len(at):
+            windows = _windows(self.last[at] - self.first[at] + LENGTH, self.first[at])
+            spread = np.array([-1 - (zlib.crc32(self.raw[i : i + LENGTH]) & ((1 << bits) - 1)) for i in windows.tolist()], dtype=np.int64)
+            bucket, start, stop = np.concatenate([bucket, spread]), np.concatenate([start, windows]), np.concatenate([stop, windows + LENGTH])
+        order = np.lexsort((start, bucket))
+        bucket, start, stop = bucket[order], start[order], stop[order]
+        doc = self.order[np.searchsorted(self.ends, start, side="right")] if len(start) else start
+        edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else [0]
         found, raw = {}, self.raw
         for a, b in zip(edges, edges[1:]):
-            here = at[a:b]
             number: dict[bytes, int] = {}
-            which = np.array([number.setdefault(raw[i:j], len(number)) for i, j in zip(self.first[here].tolist(), (self.last[here] + LENGTH).tolist(), strict=True)])
-            first = np.empty(len(number), dtype=np.int64)
-            first[which[::-1]] = here[::-1]  # anchors come in the order of documents, so a piece's first has the smallest id
-            found[int(bucket[a])] = Shared(list(number), self.order[self.doc[first]], here, which)
+            which = np.array([number.setdefault(raw[i:j], len(number)) for i, j in zip(start[a:b].tolist(), stop[a:b].tolist(), strict=True)])
+            least = np.empty(len(number), dtype=np.int64)
+            least[which[::-1]] = doc[a:b][::-1]  # occurrences are in the order of documents, so a piece's first has the smallest
+            found[int(bucket[a])] = Shared(list(number), least, start[a:b], doc[a:b], which)
         return found
 
 
+def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``keys``."""
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x if len(keys) else np.zeros(len(x), dtype=bool)
+
+
 def outline(block: Block, bits: int) -> list[tuple[int, bytes, bytes]]:
-    """(bucket, hashes, flags): the block's different anchors, and which of them two of its documents have."""
+    """(bucket, hashes, counts): the block's different anchors, and how many of its documents have each (255 stands for
+    more; rows that repeat an id count once)."""
     if not len(block.key):
         return []
     short = block.key >> np.uint64(32 - bits)
     order = np.argsort(short, kind="stable")
     short, doc = short[order], block.order[block.doc[order]]
     start = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
-    many = np.maximum.reduceat(doc, start) != np.minimum.reduceat(doc, start)
+    fresh = np.ones(len(doc), dtype=np.int64)  # anchors of equal hash come in the order of documents
+    fresh[1:] = doc[1:] != doc[:-1]
+    fresh[start] = 1
+    many = np.minimum(np.add.reduceat(fresh, start), 255).astype(np.uint8)
     short = short[start]
     bucket = (short >> _U32).astype(np.int64)
     low = (short & np.uint64(0xFFFFFFFF)).astype("<u4")
     edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(short)]
-    return [(int(bucket[a]), low[a:b].tobytes(), np.packbits(many[a:b]).tobytes()) for a, b in zip(edges, edges[1:])]
+    return [(int(bucket[a]), low[a:b].tobytes(), many[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
 
 
-def in_common(hashes: list[bytes], flags: list[bytes]) -> list[bytes]:
-    """Of each block's hashes those that another block has too, or two documents of the block."""
+def in_common(hashes: list[bytes], counts: list[bytes], hot_docs: int = HOT_DOCS) -> list[tuple[bytes, bytes]]:
+    """Of each block's hashes those that two documents have, in any blocks: usual ones, and those of ``hot_docs`` documents or more."""
     own = [np.frombuffer(h, dtype="<u4") for h in hashes]
-    many = [np.unpackbits(np.frombuffer(f, dtype=np.uint8))[: len(h)].astype(bool) for f, h in zip(flags, own, strict=True)]
-    ordered = np.sort(np.concatenate(own + [h[m] for h, m in zip(own, many, strict=True)]))
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if not len(twice):
-        return [b""] * len(own)
-    return [h[twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h].tobytes() for h in own]
+    every = np.concatenate(own)
+    order = np.argsort(every, kind="stable")
+    ordered = every[order]
+    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    docs = np.add.reduceat(np.concatenate([np.frombuffer(c, dtype=np.uint8) for c in counts]).astype(np.int64)[order], start)
+    usual, hot = ordered[start[(docs > 1) & (docs < hot_docs)]], ordered[start[docs >= hot_docs]]
+    return [(h[_among(h, usual)].tobytes(), h[_among(h, hot)].tobytes()) for h in own]
+
+
+def full_keys(buckets: list[int], hashes: list[bytes]) -> np.ndarray:
+    """Sorted keys from hashes and their buckets."""
+    keys = [(np.uint64(b) << _U32) | np.frombuffer(h, dtype="<u4").astype(np.uint64) for b, h in sorted(zip(buckets, hashes, strict=True))]
+    return np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
 
 
 def _windows(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -332,9 +360,9 @@ def marks(block: Block, found: dict[int, Shared], answers: dict[int, bytes]) ->
         size = np.array([len(p) for p in s.pieces], dtype=np.int64)
         n = size - LENGTH + 1
         begin = np.cumsum(n) - n
-        smaller = block.order[block.doc[s.at]] > s.least[s.which]
+        smaller = s.doc > s.least[s.which]
         hit = (bits[_windows(size[s.which], begin[s.which])] > 0) | np.repeat(smaller, n[s.which])
-        gone[_windows(size[s.which], block.first[s.at])[hit]] = True
+        gone[_windows(size[s.which], s.start)[hit]] = True
     return gone
 
 
@@ -358,7 +386,7 @@ def cut_out(block: Block, gone: np.ndarray) -> dict[str, list]:
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot_docs: int = HOT_DOCS) -> DataFrame:
     """A row for each row of ``docs``: id, n_bytes, n_removed, n_spans (long), kept_sha256; with ``with_text`` also ``kept``,
     the bytes left over (binary: cuts can fall inside a character).
 
@@ -386,18 +414,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         return rows([(number, bucket, h, f, None) for bucket, h, f in outline(load(table), bits)])
 
     def second(table: pa.Table) -> pa.Table:
-        common = in_common(table.column("a").to_pylist(), table.column("b").to_pylist())
-        return rows([(block, bucket, h, None, None) for block, bucket, h in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), common, strict=True) if h])
+        common = in_common(table.column("a").to_pylist(), table.column("b").to_pylist(), hot_docs)
+        return rows([(block, bucket, *h, None) for block, bucket, h in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), common, strict=True) if any(h)])
 
-    def common_keys(table: pa.Table) -> np.ndarray:
-        keys = [(np.uint64(b) << _U32) | np.frombuffer(h, dtype="<u4").astype(np.uint64) for b, h in sorted(zip(table.column("bucket").to_pylist(), table.column("a").to_pylist(), strict=True))]
-        return np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
+    def common_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(full_keys(table.column("bucket").to_pylist(), table.column(c).to_pylist()) for c in "ab")
 
     def third(texts: pa.Table, common: pa.Table) -> pa.Table:
         if not texts.num_rows or not common.num_rows:
             return rows([])
         number = texts.column("block")[0].as_py()
-        found = load(texts).shared(common_keys(common), bits)
+        found = load(texts).shared(*common_keys(common), bits)
         return rows([(number, bucket, b"".join(s.pieces), np.array([len(x) for x in s.pieces], dtype=np.uint8).tobytes(), s.least.tobytes()) for bucket, s in found.items()])
 
     def fourth(table: pa.Table) -> pa.Table:
@@ -408,8 +435,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     def fifth(texts: pa.Table, facts: pa.Table) -> pa.Table:
         block = load(texts) if texts.num_rows else Block([], [])
         asked = facts.filter(pa.compute.is_valid(facts.column("a")))
-        told = facts.filter(pa.compute.is_valid(facts.column("b")))
-        found = block.shared(common_keys(asked), bits)
+        told = facts.filter(pa.compute.is_null(facts.column("a")))
+        found = block.shared(*common_keys(asked), bits)
         gone = marks(block, found, dict(zip(told.column("bucket").to_pylist(), told.column("b").to_pylist(), strict=True)))
         out = cut_out(block, gone)
         if not with_text:

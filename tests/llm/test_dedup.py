@@ -152,11 +152,11 @@ def plain_substrings(rows):
 
 def test_substrings_against_plain(documents, odd, empty, monkeypatch):
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    for df, block in ((documents, 2 << 20), (odd, 5000), (empty, 5000), (documents, 20_000)):
+    for df, block, hot in ((documents, 2 << 20, 200_000), (odd, 5000, 200_000), (empty, 5000, 2), (documents, 20_000, 200_000), (documents, 20_000, 2), (odd, 5000, 3)):
         monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
         monkeypatch.setattr(substrings, "BUCKET_TEXT", block)
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-        got = [tuple(r) for r in substrings.dedup(df).select(*columns).collect()]
+        got = [tuple(r) for r in substrings.dedup(df, hot_docs=hot).select(*columns).collect()]
         assert shown(got) == shown(plain_substrings(rows))
     kept = substrings.dedup(documents, with_text=True).collect()
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in kept)
