@@ -36,14 +36,17 @@ def run(spark: SparkSession, fn: Callable[[Worker], object], nworkers: int = 16,
     Values in ``scatter`` go out as one broadcast. An exception in a worker fails the call with its text. If the cluster
     has fewer slots than workers, Spark refuses (SPARK-24819): fewer workers would change results.
     """
-    sent = spark.sparkContext.broadcast(scatter or {})
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") and nworkers > sc.defaultParallelism:  # Spark would look again for ten minutes first
+        raise ValueError(f"{nworkers} workers need as many slots (SPARK-24819); {sc.master} has {sc.defaultParallelism}")
+    sent = sc.broadcast(scatter or {})
 
     def task(_):
         context = BarrierTaskContext.get()
         worker = Worker(context.partitionId(), len(context.getTaskInfos()), sent.value)
         yield worker.rank, to_contents(fn(worker))
 
-    found = spark.sparkContext.parallelize(range(nworkers), nworkers).barrier().mapPartitions(task).collect()
+    found = sc.parallelize(range(nworkers), nworkers).barrier().mapPartitions(task).collect()
     return [from_contents(c) for _, c in sorted(found)]
 
 
