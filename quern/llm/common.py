@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: at these six and no others, so operators split the UTF-8 bytes of a text.
 #: A side is broadcast only when it was counted and has no more rows than this; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes of one Arrow batch of texts.
+BATCH_BYTES = "4194304b"
 #: Rows that one bucket of a distributed prefix sum holds on average.
 BUCKET_ROWS = 20_000
 
@@ -57,8 +59,24 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
     return big.join(renamed, on, how).drop(*(f"__small_{k}" for k in keys))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of texts. Spark's own bound of 64 MB is met several times over in a task, as buffers grow by doubling
+    and Python holds words beside bytes; a bound that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def arrow_function(df: DataFrame, fn: Callable[..., pa.Array], schema: str):
+    """``fn`` over Arrow arrays as a column function. Spark must not call it again for each use of its result, hence
+    nondeterministic."""
+    small_batches(df.sparkSession)
+    return F.arrow_udf(fn, schema).asNondeterministic()
+
+
 def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
     """``fn`` turns each Arrow batch into columns (a dict of lists or arrays); batches are bounded by Spark in rows and bytes."""
+    small_batches(df.sparkSession)
     target = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 

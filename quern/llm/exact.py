@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lookup
+from .common import arrow_function, cut, lookup
 
 #: Bytes of the normalised text that the second of the three tests hashes.
 PREFIX = 128
@@ -32,14 +32,14 @@ def _digest(texts: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(b).hexdigest() for b in normalised(texts)], pa.string())
 
 
-def outline(text: str) -> Column:
+def outline(df: DataFrame, text: str) -> Column:
     """Struct: length of the normalised text in bytes, hash of its first bytes, code points of the original."""
-    return F.arrow_udf(_outline, "struct<len:bigint,prefix:bigint,points:bigint>").asNondeterministic()(text)
+    return arrow_function(df, _outline, "struct<len:bigint,prefix:bigint,points:bigint>")(text)
 
 
-def digest(text: str) -> Column:
+def digest(df: DataFrame, text: str) -> Column:
     """SHA-256 of the normalised text."""
-    return F.arrow_udf(_digest, "string").asNondeterministic()(text)
+    return arrow_function(df, _digest, "string")(text)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,12 +51,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     n_keep says how many rows tie for that, which happens only if an id repeats.
     """
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    outlines = texts.select("*", outline("__text").alias("__o"))
+    outlines = texts.select("*", outline(docs, "__text").alias("__o"))
     counted = cut(outlines.groupBy(F.col("__o.len").alias("__len"), F.col("__o.prefix").alias("__prefix")).count())
     lengths = counted.groupBy("__len").agg(F.sum("count").alias("__n")).where("__n > 1").select("__len")
     alive = cut(counted.join(lengths, "__len", "left_semi").where("count > 1").select("__len", "__prefix"))
     keyed = outlines.select("__id", "__text", F.col("__o.len").alias("__len"), F.col("__o.prefix").alias("__prefix"), F.col("__o.points").alias("__points"))
-    full = lookup(keyed, alive, ["__len", "__prefix"], "left_semi").select("__id", "__points", digest("__text").alias("text_sha256"))
+    full = lookup(keyed, alive, ["__len", "__prefix"], "left_semi").select("__id", "__points", digest(docs, "__text").alias("text_sha256"))
     # a row's rank: more code points first, then the smaller id, null ids last
     rank = F.struct((-F.col("__points")).alias("p"), F.col("__id").isNull().alias("n"), F.col("__id").alias("i"))
     best = full.groupBy("text_sha256", "__points", "__id").agg(F.count("*").alias("__n")).groupBy("text_sha256").agg(
@@ -74,7 +74,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     found = groups(docs, id_col, text_col)
     rows = docs.select(
-        F.col(id_col).alias("__id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("__points"), digest(text_col).alias("text_sha256")
+        F.col(id_col).alias("__id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("__points"), digest(docs, text_col).alias("text_sha256")
     )
     rows = lookup(rows, found, ["text_sha256"])
     single = F.col("group_size").isNull()
@@ -91,7 +91,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The rows of ``docs`` that stay, with all their columns; the choice is that of ``decisions``."""
     found = groups(docs, id_col, text_col)
     own = docs.columns
-    marked = docs.withColumns({"__sha": digest(text_col), "__points": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")})
+    marked = docs.withColumns({"__sha": digest(docs, text_col), "__points": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")})
     found = found.select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep_id"), F.col("keep_points").alias("__keep_points"), F.col("n_keep").alias("__n_keep"))
     marked = lookup(marked, found, ["__sha"])
     marked = marked.where(F.col("__n_keep").isNull() | (F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__points") == F.col("__keep_points"))))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, cut, lookup, prefix_sums, range_starts
+from .common import BUCKET_ROWS, arrow_function, cut, lookup, prefix_sums, range_starts
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -23,7 +23,7 @@ def _measured(texts: pa.Array) -> pa.Array:
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED) -> DataFrame:
     """``docs`` with __size (words), __order (the shuffle: an MD5 of seed, id and text), __u (its first 32 bits), __source."""
-    measure = F.arrow_udf(_measured, "struct<size:bigint,md5:string>").asNondeterministic()
+    measure = arrow_function(docs, _measured, "struct<size:bigint,md5:string>")
     seen = docs.withColumn("__m", measure(text_col))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("__m.md5")).cast("binary"))
     seen = seen.withColumns({"__size": F.col("__m.size"), "__order": order, "__source": F.col(source_col)}).drop("__m")

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup
+from .common import arrow_function, cut, lookup
 
 STATS = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_lines:bigint,n_dup_lines:bigint,n_repeat_words:bigint>"
 _SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
@@ -79,8 +79,7 @@ def _stats(texts: pa.Array) -> pa.Array:
 
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and the struct ``__s`` of counts over the whole text. Texts alone go to Python, in bounded batches."""
-    measure = F.arrow_udf(_stats, STATS).asNondeterministic()  # so that it runs once for each row
-    return docs.withColumn("__s", measure(F.col(text_col)))
+    return docs.withColumn("__s", arrow_function(docs, _stats, STATS)(F.col(text_col)))
 
 
 def rules(limits: Limits) -> dict[str, Column]:

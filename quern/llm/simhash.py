@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, lookup
+from .common import arrow_function, arrow_rows, cut, lookup
 from .components import components
 
 SHINGLE = 3
@@ -246,7 +246,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         lost = cut(lookup(prints, roots, ["fp"]).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col))
         return lookup(docs, lost, [id_col], "left_anti")
     own = docs.columns
-    again = F.arrow_udf(lambda texts: pa.array([signed(fingerprint(b)) for b in texts.cast(pa.large_binary()).to_pylist()], pa.int64()), "bigint").asNondeterministic()
+    again = arrow_function(docs, lambda texts: pa.array([signed(fingerprint(b)) for b in texts.cast(pa.large_binary()).to_pylist()], pa.int64()), "bigint")
     named = roots.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__component"))
     marked = lookup(docs.withColumn("__fp", again(text_col)), named, ["__fp"])
     return marked.where(F.col(id_col).eqNullSafe(F.col("__component"))).dropDuplicates(["__root"]).select(*own)
