@@ -69,7 +69,7 @@ def tokenizer():
     return public_tokenizers.path("byte_bpe_50k.json"), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def test_encoder_equals_the_tokenizer(spark, monkeypatch):
+def test_encoder_equals_the_tokenizer(spark):
     path, plain = tokenizer()
     rng = random.Random(1)
     parts = [" ", "  ", "\n", "\t", "a", "the", "'s", "'", " re", "é", "12", ".", "!!", "<|endoftext|>", "\r", "日本", "\0", " ", "Ünïcödé", "’"]
@@ -77,8 +77,7 @@ def test_encoder_equals_the_tokenizer(spark, monkeypatch):
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     want = [np.array(x.ids, dtype="<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
     for remembered in (1_000_000, 500):
-        monkeypatch.setattr(packing, "REMEMBERED", remembered)
-        assert list(packing.Encoder(path).many(texts)) == want
+        assert list(packing.Encoder(path, remembered).many(texts)) == want
 
 
 def packed(rows, want):
