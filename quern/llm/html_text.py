@@ -10,11 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup
+from .common import arrow_function, cut, lookup
 
 #: A subtree is a template of its host if it stands on at least this many pages and this part of the host's pages.
 LEAST_PAGES = 8
 LEAST_PART = 0.05
+#: Hosts with templates, each with a short list of hashes, are broadcast up to this number.
+BROADCAST_HOSTS = 20_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*?)/?(?:>|(?=<)|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -33,8 +35,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 MARKS = frozenset("""ad ads adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert
     newsletter subscribe subscription signup sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments reply replies
     respond disqus discussion related recommended share sharing social popup modal overlay paywall pagination pager toolbar widget skip copyright disclaimer""".split())
-#: These mark page headers, but also the head of an article, where they stay.
-HEADS = frozenset("header site".split())
+#: Beginnings of such words, as sites join them: commentlist, adverts, cookiebar.
+BEGINNINGS = tuple("comment advert sponsor cookie newsletter sidebar breadcrumb subscri promo disqus related recommend popup paywall".split())
 #: A class of an article that makes it a reader's or another page's.
 OTHERS = frozenset("comment reply teaser related promo ad card sponsored".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
@@ -120,7 +122,7 @@ def _beside(node: Node, inside: bool) -> bool:
         return True
     if node.has_article:
         return False
-    return bool(node.marks & MARKS) or not inside and "header" in node.marks
+    return bool(node.marks) and (bool(node.marks & MARKS) or any(m.startswith(BEGINNINGS) for m in node.marks) or not inside and "header" in node.marks)
 
 
 def keys(node: Node) -> int:
@@ -245,7 +247,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", le
     Each page counts a subtree once. Counts are built before the shuffle. As a template stands on at least ``least_part`` of
     a host's pages, a host has no more of them than a page's subtrees divided by that part, however many pages it has.
     """
-    found = F.arrow_udf(lambda x: pa.array([subtrees(h) for h in x.to_pylist()], pa.list_(pa.int64())), "array<bigint>").asNondeterministic()
+    found = arrow_function(pages, lambda x: pa.array([subtrees(h) for h in x.to_pylist()], pa.list_(pa.int64())), "array<bigint>")
     seen = pages.select(host_of(url_col).alias("__host"), found(html_col).alias("k")).select("__host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "k")).alias("k"))
     counts = cut(seen.groupBy("__host", "k").count())  # the null key counts pages
     of_host = counts.where("k is null").select("__host", F.col("count").alias("n"))
@@ -260,7 +262,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     input none; other columns are ignored. Html never enters a shuffle unless the hosts with templates outnumber the broadcast limit.
     """
     own = pages.select(id_col, url_col, html_col)
-    rows = lookup(own.withColumn("__host", host_of(url_col)), templates(own, url_col, html_col, **options), ["__host"])
+    rows = lookup(own.withColumn("__host", host_of(url_col)), templates(own, url_col, html_col, **options), ["__host"], most=BROADCAST_HOSTS)
     memo: dict[tuple, frozenset[int]] = {}
 
     def texts(html: pa.Array, keys_: pa.Array) -> pa.Array:
@@ -274,5 +276,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             out.append(extract(h, memo[t]))
         return pa.array(out, pa.string())
 
-    text = F.arrow_udf(texts, "string").asNondeterministic()
+    text = arrow_function(pages, texts, "string")
     return rows.select(id_col, url_col, text(html_col, "__templates").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
