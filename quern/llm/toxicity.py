@@ -70,7 +70,7 @@ class Model:
         return float(self.bias + self.weights[at].sum() + 0.5 * (s @ s - (v * v).sum()))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], factors: int = 4, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, least: int = 5, sure: float = 4.0, seed: int = 7) -> Model:
+def fit(rows: list[tuple[np.ndarray, int]], factors: int = 4, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, least: int = 5, sure: float = 3.5, seed: int = 7) -> Model:
     """Train by AdaGrad on single rows in a shuffled order.
 
     A bucket needs ``least`` rows, and a rate of label 1 that is ``sure`` standard errors from the common one: the many
