@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +41,10 @@ def known(run: str) -> bool:
     return all(_PART.fullmatch(p) for p in re.split(r"[-_/+=]", run))
 
 
+@cache
 def encoder(vocabulary: str | None = None) -> Callable[[str], int]:
-    """Number of tokens of a string under a tiktoken rank file; by default the public 50k byte-level vocabulary."""
+    """Number of tokens of a string under a tiktoken rank file; by default the public 50k byte-level vocabulary. One for each
+    Python worker and file, kept from task to task."""
     import public_tokenizers
     import tiktoken
 
@@ -88,15 +91,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     alone. The scan is one pass without a shuffle over whole texts; memory is bounded by an Arrow batch. Null and empty
     texts have no spans, repeated rows give repeated rows, other columns are ignored.
     """
-    cache: dict[str, Callable[[str], int]] = {}
 
     def one(batch: pa.RecordBatch) -> dict:
-        if not cache:
-            cache["tokens"] = encoder(vocabulary)
+        tokens = encoder(vocabulary)
         rows = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
         for text in batch.column(1).to_pylist():
             base = base_spans(text) if text else []
-            extra = dense_spans(text, base, cache["tokens"], most) if text else []
+            extra = dense_spans(text, base, tokens, most) if text else []
             for k, c in enumerate(("n_assign", "n_access", "n_hex")):
                 rows[c].append(sum(s[1] == k for s in base))
             rows["base_sha256"].append(hashlib.sha256(_joined(base).encode()).hexdigest())
