@@ -148,12 +148,18 @@ def spans(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in pairwise(edges)]
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
-    """A row for each piece of each row of ``docs``: id, piece (int), start, length, ids_crc32 (long), and with ``with_ids`` the ids as binary."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED, keep: bool = True) -> DataFrame:
+    """A row for each piece of each row of ``docs``: id, piece (int), start, length, ids_crc32 (long), and with ``with_ids`` the ids as binary.
+
+    ``keep``: Python workers keep the tokenizer and its words for later tasks; else each task loads its own and lets go of it.
+    """
+    own: dict[str, Encoder] = {}  # of one task, as each gets a copy of this function
 
     def one(batch: pa.RecordBatch) -> dict:
         out = {c: [] for c in ("row", "piece", "start", "length", "ids_crc32", "ids")}
-        for row, ids in enumerate(encoder(tokenizer, remembered).many(batch.column(1).to_pylist())):
+        if not keep and not own:
+            own["x"] = encoder.__wrapped__(tokenizer, remembered)
+        for row, ids in enumerate((own.get("x") or encoder(tokenizer, remembered)).many(batch.column(1).to_pylist())):
             ids += END
             for i, (start, length) in enumerate(spans(len(ids) // 4, capacity)):
                 part = ids[4 * start : 4 * (start + length)]
@@ -301,7 +307,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return found
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED, keep: bool = True) -> DataFrame:
     """``pieces`` with sequence_id and offset (long).
 
     Each document ends with id 0, so an empty or null text is a piece of one id. The driver gets one counter for
@@ -310,7 +316,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     in ranges, so that the most frequent size is spread over many tasks. Repeated rows are packed each; empty input
     gives no rows; other columns are ignored.
     """
-    parts = cut(pieces(docs, id_col, text_col, tokenizer, capacity, remembered=remembered).withColumns({
+    parts = cut(pieces(docs, id_col, text_col, tokenizer, capacity, remembered=remembered, keep=keep).withColumns({
         "__u": F.expr(f"shiftrightunsigned(xxhash64(`{id_col}`, piece, ids_crc32), 32)"), "__one": F.lit(1).cast("long"),
     }))
     counts = dict(parts.groupBy("length").count().collect())
