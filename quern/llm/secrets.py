@@ -19,8 +19,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "dense")
 
-#: A run long enough to be a key. Its head and tail are no separators.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: A run long enough to be a key. It may start behind "=", as values do; "=" belongs to it only as padding at its end.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_-])")
 #: At most this many characters a token: random strings have 1.1 to 1.9, words 2.5 and more.
 MOST_CHARS_PER_TOKEN = 2.0
 #: Lengths of common digests in hex: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.

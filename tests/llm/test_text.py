@@ -166,3 +166,12 @@ def test_secrets_against_plain(spark, documents, odd, empty):
 @pytest.mark.parametrize("run", ["d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "4952935900253052", "some_long_identifier_2024", "averylongwordwithoutdigits"])
 def test_known_strings(run):
     assert secrets.known(run)
+
+
+@pytest.mark.parametrize("before,value,after", [
+    ("client_key=", "Zx81kd9QpL0mVb72TnRs4Yc", ""), ("AccountKey=", "Zx81kd9QpL0mVb72TnRs4Yc==", ";"), ('client_key="', "Zx81kd9QpL0mVb72TnRs4Yc", '"'),
+    ("https://a.example/x?sig=", "Zx81kd9QpL0mVb72TnRs4Yc", "&n=1"), ("long_service_account_name=", "Zx81kd9QpL0mVb72TnRs4Yc", ""), ("auth: ", "Zx81kd9QpL0mVb72TnRs4Yc", ""),
+])
+def test_values_behind_any_name(before, value, after):
+    text = before + value + after
+    assert secrets.dense_spans(text, secrets.base_spans(text), secrets.encoder()) == [(len(before), 3, len(before) + len(value))]
