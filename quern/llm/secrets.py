@@ -30,15 +30,22 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}
 #: One part of an identifier, path or slug: a word with a number behind it, or a number.
 _PART = re.compile(r"[A-Z]?[a-z]*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+|(?:[A-Z]?[a-z]+){2,}[0-9]{0,4}")
 
+#: A word of a part: capitals, or letters with at most one capital, their first.
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
-def known(run: str) -> bool:
-    """Whether a run is a digest or an identifier: hex of a digest's length, a UUID, a number, words and numbers that
-    separators join, or letters without any digit."""
+
+def known(run: str, tokens: Callable[[str], int] | None = None, most: float = MOST_CHARS_PER_TOKEN) -> bool:
+    """Whether a run is a digest or an identifier: hex of a digest's length, a UUID, a number, or words and numbers that
+    separators join. Shape alone makes no words, as random letters have it too: the words, in lower case and without
+    what joins them, must have more than ``most`` characters a token (by default under ``encoder()``)."""
     if len(run) in DIGEST_LENGTHS and _DIGEST.fullmatch(run) or _UUID.fullmatch(run):
         return True
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+    if not any(c.isalpha() for c in run):
         return True
-    return all(_PART.fullmatch(p) for p in re.split(r"[-_/+=]", run))
+    if any(c.isdigit() for c in run) and not all(_PART.fullmatch(p) for p in re.split(r"[-_/+=]", run)):
+        return False
+    words = [w.lower() for w in _WORD.findall(run)]
+    return sum(map(len, words)) > most * sum(map(tokens or encoder(), words))
 
 
 @cache
@@ -73,9 +80,9 @@ def dense_spans(text: str, base: list[tuple[int, int, int]], tokens: Callable[[s
     found = []
     for m in RUN.finditer(text):
         run, start, end = m[0], m.start(), m.end()
-        if known(run) or any(s < end and start < e for s, _, e in base):
+        if any(s < end and start < e for s, _, e in base):
             continue
-        if len(run) <= most * tokens(run):
+        if len(run) <= most * tokens(run) and not known(run, tokens, most):
             found.append((start, 3, end))
     return found
 

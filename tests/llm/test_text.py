@@ -175,3 +175,15 @@ def test_known_strings(run):
 def test_values_behind_any_name(before, value, after):
     text = before + value + after
     assert secrets.dense_spans(text, secrets.base_spans(text), secrets.encoder()) == [(len(before), 3, len(before) + len(value))]
+
+
+@pytest.mark.parametrize("letters,length", [("abcdefghijklmnopqrstuvwxyz", 16), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 24), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16)])
+def test_random_keys_without_a_telling_shape(letters, length):
+    rng = np.random.default_rng(0)
+    keys = ["".join(rng.choice(list(letters), length)) for _ in range(500)]
+    assert sum(secrets.dense_spans(k, [], secrets.encoder()) == [(0, 3, length)] for k in keys) >= 480
+
+
+@pytest.mark.parametrize("run", ["internationalization", "Geschwindigkeitsbegrenzung", "DO_NOT_REAP_CHILD", "ReadWriteLockFactory2", "chart-height-in-pixels", "/usr/share/doc/python3/examples", "OID_RSA_WITH_SHA512", "2024-11-26-release-notes"])
+def test_words_and_identifiers_are_no_secrets(run):
+    assert secrets.dense_spans(run, [], secrets.encoder()) == []
