@@ -70,11 +70,88 @@ class Model:
         return float(self.bias + self.weights[at].sum() + 0.5 * (s @ s - (v * v).sum()))
 
 
+def _surprise(n: np.ndarray, k: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Chernoff's bound, as a negative logarithm: how unlikely a share of k in n is at this rate."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = k / n
+        return n * (np.where(k > 0, x * np.log(x / rate), 0.0) + np.where(k < n, (1 - x) * np.log((1 - x) / (1 - rate)), 0.0))
+
+
+def in_pairs(rows: list[tuple[np.ndarray, int]], seen: np.ndarray, toxic: np.ndarray, alone: np.ndarray, least: int, doubt: float = 0.05) -> np.ndarray:
+    """Which buckets are in a pair whose rate of label 1 is not what the log-odds of both add up to.
+
+    All pairs of buckets with ``least`` rows are tested, with a chance of ``doubt`` at most that any pair of no
+    interaction passes. Left out are only pairs that cannot pass: of two buckets that tell nothing alone (not in
+    ``alone``), both need the rows that the test takes at the common rate, as their pair must differ from that rate too, in the
+    same direction. Buckets in the same rows count as one.
+    Counts are products of blocks of 0 and 1, in memory that does not grow with the number of pairs.
+    """
+    n, ones = len(rows), sum(y for _, y in rows)
+    found = np.zeros(BUCKETS, dtype=bool)
+    often = np.flatnonzero(seen >= least)
+    if not ones or ones == n or len(often) < 2:
+        return found
+    marks = np.random.default_rng(0).integers(0, 1 << 63, n, dtype=np.uint64)
+    support = np.zeros(BUCKETS, dtype=np.uint64)
+    for (b, _), m in zip(rows, marks):
+        support[b] += m
+    _, first, same = np.unique(support[often], return_index=True, return_inverse=True)
+    terms = often[first]  # one bucket of each set of rows
+    p = ones / n
+    need = 2 * np.log(len(terms)) - np.log(doubt)
+    odds = np.log((toxic[terms] + p) / (seen[terms] - toxic[terms] + 1 - p)) - np.log(p / (1 - p))
+    strong = alone[terms]
+    plain = ~strong & ((toxic[terms] * -np.log(p) >= need) | (seen[terms] * -np.log1p(-p) >= need))
+    labels = np.array([y for _, y in rows], dtype=bool)
+    where = np.full(BUCKETS, -1, dtype=np.int32)
+    where[terms] = np.arange(len(terms))
+    at = [x[x >= 0] for x in (where[b] for b, _ in rows)]
+    hit = np.zeros(len(terms), dtype=bool)
+
+    def test(left: np.ndarray, right: np.ndarray, clipped: bool) -> None:
+        place = np.full(len(terms), -1, dtype=np.int32)
+        place[right] = np.arange(len(right))
+        inside = [x[x >= 0] for x in (place[a] for a in at)]
+        place[:] = -1
+        place[left] = np.arange(len(left))
+        others = [x[x >= 0] for x in (place[a] for a in at)]
+        height, step = max(1, (1 << 21) // len(right) + 64), max(1, (1 << 23) // len(right) + 64)
+        for a in range(0, len(left), height):
+            b, start = min(len(left), a + height), a if clipped else 0  # plain pairs once
+            both = np.zeros((2, b - a, len(right) - start), dtype=np.float32)
+            for y in (0, 1):
+                which = [k for k in np.flatnonzero(labels == y).tolist() if np.any((others[k] >= a) & (others[k] < b))]
+                for c in range(0, len(which), step):
+                    part = which[c : c + step]
+                    u, v = np.zeros((len(part), b - a), dtype=np.float32), np.zeros((len(part), len(right) - start), dtype=np.float32)
+                    for r, k in enumerate(part):
+                        o = others[k]
+                        u[r, o[(o >= a) & (o < b)] - a] = 1
+                        v[r, inside[k][inside[k] >= start] - start] = 1
+                    both[y] += u.T @ v
+            count = both[0] + both[1]
+            i, j = np.nonzero((both[1] * -np.log(p) >= need) | (count * -np.log1p(-p) >= need) if clipped else count >= least)
+            m, k = count[i, j].astype(np.float64), both[1][i, j].astype(np.float64)
+            i, j = left[a + i], right[start + j]
+            rate = 1 / (1 + np.exp(-(odds[i] + odds[j] + np.log(p / (1 - p)))))
+            if clipped:
+                rate = np.where(k > p * m, np.maximum(rate, p), np.minimum(rate, p))
+            sure = (_surprise(m, k, rate) >= need) & (i != j) & ((k > rate * m) == (k > p * m) if clipped else True)
+            hit[i[sure]] = hit[j[sure]] = True
+
+    if strong.any():
+        test(np.flatnonzero(strong), np.arange(len(terms)), False)
+    if plain.any():
+        test(np.flatnonzero(plain), np.flatnonzero(plain), True)
+    found[often] = hit[same]
+    return found
+
+
 def fit(rows: list[tuple[np.ndarray, int]], factors: int = 4, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, least: int = 5, sure: float = 3.5, seed: int = 7) -> Model:
     """Train by AdaGrad on single rows in a shuffled order.
 
-    A bucket needs ``least`` rows, and a rate of label 1 that is ``sure`` standard errors from the common one: the many
-    terms that tell nothing would add up to noise in long texts. Without rows of both labels all texts get the smoothed rate.
+    A bucket needs ``least`` rows, and a rate of label 1 that is ``sure`` standard errors from the common one or a place in
+    a pair that tells more than its parts (``in_pairs``): the many terms that tell nothing would add up to noise in long texts. Without rows of both labels all texts get the smoothed rate.
     """
     n, ones = len(rows), sum(y for _, y in rows)
     prior = float(np.log((ones + 0.5) / (n - ones + 0.5)))
@@ -85,7 +162,8 @@ def fit(rows: list[tuple[np.ndarray, int]], factors: int = 4, epochs: int = 12,
         toxic[b] += y
     rate_of_ones = ones / n if n else 0.0
     apart = np.abs(toxic - seen * rate_of_ones) >= sure * np.sqrt(seen * rate_of_ones * (1 - rate_of_ones))
-    buckets = np.flatnonzero((seen >= least) & apart).astype(np.int32)
+    alone = (seen >= least) & apart
+    buckets = np.flatnonzero(alone | in_pairs(rows, seen, toxic, alone, least)).astype(np.int32)
     rng = np.random.default_rng(seed)
     model = Model(prior, buckets, np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), factors)))
     if not ones or ones == n or not len(buckets):

@@ -96,6 +96,48 @@ def test_pairs_count_beyond_their_parts():
     assert z(1) > 0 and z(2) > 0 and z(1, 2) < 0
 
 
+def _rows_of_two_terms(counts):
+    rng = np.random.default_rng(0)
+    rows = []
+    for (a, b, y), n in counts.items():
+        rows += [(np.array([k for k, x in ((1, a), (2, b)) if x] + sorted(3 + rng.choice(200, 20, replace=False)), dtype=np.int32), y) for _ in range(n)]
+    return rows
+
+
+@pytest.mark.parametrize("counts", [
+    {(1, 1, 1): 100, (1, 0, 0): 900, (0, 1, 0): 900, (0, 0, 1): 210, (0, 0, 0): 1890},  # together only
+    {(1, 1, 0): 1000, (1, 0, 1): 1000, (0, 1, 1): 1000, (0, 0, 0): 1000},  # one but not both
+])
+def test_neutral_terms_that_tell_as_a_pair_are_learned_by_default(counts):
+    rows = _rows_of_two_terms(counts)
+    n, ones = len(rows), sum(y for _, y in rows)
+    for term in (1, 2):
+        own = [y for b, y in rows if term in b]
+        assert abs(sum(own) - len(own) * ones / n) < 3.5 * np.sqrt(len(own) * ones / n * (1 - ones / n))
+    model = toxicity.fit(rows)
+    where = {int(b): k for k, b in enumerate(model.buckets)}
+    assert len(where) < 10  # 200 other terms that tell nothing stay out
+    for a, b in ((0, 0), (1, 0), (0, 1), (1, 1)):
+        of = {y: counts.get((a, b, y), 0) for y in (0, 1)}
+        assert (model.logit(np.array([where[k] for k, x in ((1, a), (2, b)) if x], dtype=int)) > 0) == (of[1] > of[0])
+
+
+def test_pairs_against_plain():
+    """One pair raises, one lowers what a telling term says; buckets of the same rows go together."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(3000):
+        x = rng.random(40) < 0.2
+        y = bool(x[0] and x[1]) or bool(x[2] and not x[3]) or rng.random() < 0.05
+        rows.append((np.array([*np.flatnonzero(x), *(100 + np.flatnonzero(x[:2]))], dtype=np.int32), int(y)))
+    seen, toxic = np.zeros(toxicity.BUCKETS, dtype=np.int64), np.zeros(toxicity.BUCKETS, dtype=np.int64)
+    for b, y in rows:
+        seen[b] += 1
+        toxic[b] += y
+    for alone in (np.isin(np.arange(toxicity.BUCKETS), [0, 1, 2, 100, 101]), np.arange(toxicity.BUCKETS) == 2):
+        assert set(np.flatnonzero(toxicity.in_pairs(rows, seen, toxic, alone, 5))) == {0, 1, 2, 3, 100, 101}
+
+
 PAGE = """<html><body class="has-sidebar"><header class=site-header><h1>Site</h1><ul><li>Menu</ul></header><div id=cookie-banner>We use cookies</div>
 <main><article><header><h1>Title &amp; more</h1></header><p>One  two<br>three<p>Next &lt;b&gt; <a href=x>link</a>.<aside>side</aside><ul><li>a<li>b</ul>
 <form>f <input></form><div class="ad">buy</div><script>var t="</p>";</script><section class="comments"><p>I disagree</p></section></article></main><aside>x</aside><footer>foo</footer></body></html>"""
