@@ -186,7 +186,9 @@ def kernel(df):
 
 @query(None, "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 30")
 def scatter_threshold(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").where(F.col("l_quantity") > 30).select("l_orderkey", "l_linenumber", "l_quantity")
+    arrived = spmd.run(spark, lambda w: w.values["threshold"], 2, scatter={"threshold": 30})
+    over = [F.col("l_quantity") > x for x in arrived]  # what each worker got
+    return _t(spark, sf_dir, "lineitem").where(over[0] & over[1]).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("events", """WITH m AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'SESSION_READY' WHEN 'click' THEN 'EVALUATION_ENDok ' || user_id || 'MESSAGE_END'

@@ -102,3 +102,11 @@ def test_worker_failure_reaches_the_caller(spark):
 def test_too_many_workers_are_refused(spark):
     with pytest.raises(Exception, match="SPARK-24819|SPARK-24820|slots|barrier"):
         spmd.run(spark, lambda w: w.rank, 64)
+
+
+def test_threshold_comes_through_scatter(spark, monkeypatch):
+    sf, run = "/root/testdata/sf0.001", spmd.run
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert reference.scatter_threshold(spark, sf).count() == rows.where("l_quantity > 30").count()
+    monkeypatch.setattr(spmd, "run", lambda spark, fn, n, scatter: run(spark, fn, n, {"threshold": scatter["threshold"] + 15}))
+    assert reference.scatter_threshold(spark, sf).count() == rows.where("l_quantity > 45").count()
