@@ -76,8 +76,34 @@ def test_encoder_equals_the_tokenizer(spark):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     want = [np.array(x.ids, dtype="<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
-    for remembered in (1_000_000, 500):
-        assert list(packing.Encoder(path, remembered).many(texts)) == want
+    own = packing.Encoder(path)
+    assert own.fast and list(own.many(texts)) == want
+
+
+def test_encoder_equals_the_tokenizer_on_all_characters():
+    """Characters that every version of Unicode classes alike take the fast way, all others the tokenizer's; the ids are its own."""
+    path, plain = tokenizer()
+    rng = random.Random(2)
+    settled = packing._settled()
+    kinds = {True: [], False: []}
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000:
+            kinds[bool(settled.fullmatch(chr(c)))].append(chr(c))
+    usual = [" ", "  ", "\n", "a", "the", "'s", "12", ".", "\x0b", "\x85"]
+    texts = ["".join(rng.choice(usual) if rng.random() < 0.5 else rng.choice(kinds[k]) for _ in range(rng.randint(0, 30))) for k in (True, False) for _ in range(10_000)]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert list(packing.Encoder(path).many(texts)) == want
+
+
+def test_encoder_of_another_kind():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, texts = Tokenizer.from_file(path), ["Some words, and 12 more", "", "a<|b"]
+    own = packing.Encoder(path)
+    assert own.fast is None
+    assert list(own.many(texts)) == [np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
 def packed(rows, want):
