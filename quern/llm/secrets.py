@@ -27,8 +27,9 @@ MOST_CHARS_PER_TOKEN = 2.0
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
-#: One part of an identifier, path or slug: a word with a number behind it, or a number.
-_PART = re.compile(r"[A-Z]?[a-z]*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+|(?:[A-Z]?[a-z]+){2,}[0-9]{0,4}")
+#: One part of an identifier, path or slug: words, each but the first with a capital, and a number behind them, or a number.
+#: No alternative can match a string in two ways, so time is linear in its length.
+_PART = re.compile(r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]*)[0-9]{0,4}|[0-9]+")
 
 #: A word of a part: capitals, or letters with at most one capital, their first.
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")

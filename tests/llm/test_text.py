@@ -210,6 +210,49 @@ def test_known_strings(run):
     assert secrets.known(run)
 
 
+def plain_dense(text):
+    """Runs found letter by letter; the ratio decides unless the run is a digest, a UUID, a number or made of words."""
+    tokens = secrets.encoder()
+    base, found, i = plain_base(text), [], 0
+    letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in letters:
+            j += 1
+        padding = max(k for k in (0, 1, 2) if text[j : j + k] == "=" * k and text[j + k : j + k + 1] not in letters)
+        end = j + padding
+        if j - i >= 16 and not any(s < end and i < e for s, _, e in base):
+            run = text[i:end]
+            if len(run) <= 2.0 * tokens(run) and not secrets.known(run):
+                found.append((i, 3, end))
+        i = max(j, i + 1)
+    return found
+
+
+def test_dense_spans_against_plain(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    some = 0
+    for r in docs.collect():
+        want = plain_dense(r.text or "")
+        some += len(want)
+        assert [x for x in got[r.doc_id].split(",") if x.startswith("dense")] == [f"dense:{a}:{b}" for a, _, b in want]
+    assert some > 0
+
+
+@pytest.mark.parametrize("unit", ["a", "aA", "Aa", "A", "1", "a1", "a-", "a/", "+", "=", "a=", "f0", "AKIA", "secret", "token=", "password: "])
+def test_time_is_linear_in_runs(unit):
+    import time
+
+    for tail in ("", "12345", "!"):
+        text = unit * (100_000 // len(unit)) + tail
+        began = time.perf_counter()
+        secrets.dense_spans(text, secrets.base_spans(text), secrets.encoder())
+        secrets.known(text)
+        assert time.perf_counter() - began < 1
+    assert not secrets.known("supercalifragilisticexpialidocious12345", most=100.0)
+
+
 @pytest.mark.parametrize("before,value,after", [
     ("client_key=", "Zx81kd9QpL0mVb72TnRs4Yc", ""), ("AccountKey=", "Zx81kd9QpL0mVb72TnRs4Yc==", ";"), ('client_key="', "Zx81kd9QpL0mVb72TnRs4Yc", '"'),
     ("https://a.example/x?sig=", "Zx81kd9QpL0mVb72TnRs4Yc", "&n=1"), ("long_service_account_name=", "Zx81kd9QpL0mVb72TnRs4Yc", ""), ("auth: ", "Zx81kd9QpL0mVb72TnRs4Yc", ""),
