@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import all_of
+from quern.operators.lineage import cut
 
 
 def where(df: DataFrame, **predicates) -> DataFrame:
@@ -48,28 +49,37 @@ def merge_maps(*maps: Column) -> Column:
     return reduce(two, maps)
 
 
-def all_match(df: DataFrame, predicate: Column, name: str = "all_match") -> DataFrame:
-    """Whether every row meets the predicate; true without rows."""
-    return df.agg(F.coalesce(F.bool_and(predicate), F.lit(True)).alias(name))
+def all_match(df: DataFrame, predicate: Column | None = None, name: str = "all_match", **more: Column) -> DataFrame:
+    """Whether every row meets the predicate; true without rows. Further predicates, by name, are tested in the same pass."""
+    named = ({} if predicate is None else {name: predicate}) | more
+    return df.agg(*(F.coalesce(F.bool_and(p), F.lit(True)).alias(n) for n, p in named.items()))
 
 
-def first_by(df: DataFrame, column: str) -> DataFrame:
-    return df.orderBy(column).limit(1)
+def first_by(df: DataFrame, column: str, *ties: str) -> DataFrame:
+    """The row whose ``column`` comes first; ``ties`` decide between equal ones."""
+    return df.orderBy(column, *ties).limit(1)
+
+
+def count(df: DataFrame, name: str = "n") -> DataFrame:
+    return df.agg(F.count("*").alias(name))
 
 
 def row_numbers(df: DataFrame, order: str, name: str = "message_id") -> DataFrame:
-    """Numbers from 1 in the order of ``order`` (unique), as text, without one task for all rows.
+    """Numbers from 1 in the order of ``order`` (unique), as text, without one task for all rows."""
+    return places(df, order).withColumn(name, (F.col("__place") + 1).cast("string")).drop("__place")
+
+
+def places(df: DataFrame, *order: str) -> DataFrame:
+    """Add ``__place``: each row's number from 0 in the order of ``order``.
 
-    Rows are sorted by range; each partition's rows are counted, and a number is the count before its partition plus the
-    place inside. The driver gets one count for each partition.
+    Rows are sorted by range and cut; each partition's rows are counted, and a place is the count before its partition plus the
+    place inside, which the cut rows carry. The driver gets one count for each partition, and rows are shuffled once.
     """
-    ordered = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    ordered = ordered.persist()
-    counts = sorted((r["__part"], r["count"]) for r in ordered.groupBy("__part").count().collect())
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = cut(ordered.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     before, total = [], 0
-    for part, n in counts:
+    for part, n in sorted(map(tuple, ordered.groupBy("__part").count().collect())):
         before.append((part, total))
         total += n
     starts = df.sparkSession.createDataFrame(before, "__part int, __before bigint")
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return ordered.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__before") + inside).cast("string")).drop("__part", "__at", "__before")
+    return ordered.join(F.broadcast(starts), "__part").withColumn("__place", F.col("__before") + F.col("__place")).drop("__part", "__before")

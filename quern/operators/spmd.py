@@ -5,7 +5,7 @@ from __future__ import annotations
 import runpy
 import tempfile
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import BarrierTaskContext
 from pyspark.sql import SparkSession
@@ -20,6 +20,11 @@ class Worker:
     rank: int
     size: int
     values: dict
+    lines: list[str] = field(default_factory=list)
+
+    def log(self, text: str) -> None:
+        """A line for the session's log, which gets the lines of all workers by rank."""
+        self.lines.append(f"worker {self.rank}: {text}")
 
     def gather(self, value: object) -> list | None:
         """All workers' values by rank, at rank 0; None elsewhere."""
@@ -30,10 +35,10 @@ class Worker:
         BarrierTaskContext.get().barrier()
 
 
-def run(spark: SparkSession, fn: Callable[[Worker], object], nworkers: int = 16, scatter: dict | None = None) -> list:
+def run(spark: SparkSession, fn: Callable[[Worker], object], nworkers: int = 16, scatter: dict | None = None, log: list[str] | None = None) -> list:
     """Call ``fn`` on ``nworkers`` workers that run at the same time; their results by rank.
 
-    Values in ``scatter`` go out as one broadcast. An exception in a worker fails the call with its text. If the cluster
+    Values in ``scatter`` go out as one broadcast. Lines that workers log are put behind ``log``. An exception in a worker fails the call with its text. If the cluster
     has fewer slots than workers, Spark refuses (SPARK-24819): fewer workers would change results.
     """
     sc = spark.sparkContext
@@ -44,13 +49,15 @@ def run(spark: SparkSession, fn: Callable[[Worker], object], nworkers: int = 16,
     def task(_):
         context = BarrierTaskContext.get()
         worker = Worker(context.partitionId(), len(context.getTaskInfos()), sent.value)
-        yield worker.rank, to_contents(fn(worker))
+        yield worker.rank, to_contents(fn(worker)), worker.lines
 
-    found = sc.parallelize(range(nworkers), nworkers).barrier().mapPartitions(task).collect()
-    return [from_contents(c) for _, c in sorted(found)]
+    found = sorted(sc.parallelize(range(nworkers), nworkers).barrier().mapPartitions(task).collect())
+    if log is not None:
+        log += [x for _, _, lines in found for x in lines]
+    return [from_contents(c) for _, c, _ in found]
 
 
-def run_files(spark: SparkSession, sources: list[str], nworkers: int = 16, scatter: dict | None = None) -> list:
+def run_files(spark: SparkSession, sources: list[str], nworkers: int = 16, scatter: dict | None = None, log: list[str] | None = None) -> list:
     """Run Python sources (their text), one after another, on each worker, with ``worker`` in their globals. The result of
     a worker is what the last one leaves in ``result``, if anything."""
 
@@ -63,4 +70,4 @@ def run_files(spark: SparkSession, sources: list[str], nworkers: int = 16, scatt
                 out = runpy.run_path(f.name, init_globals={"worker": worker}).get("result")
         return out
 
-    return run(spark, code, nworkers, scatter)
+    return run(spark, code, nworkers, scatter, log)

@@ -92,19 +92,18 @@ def page_merge(df):
 
 @query("orders", "SELECT coalesce(bool_and(o_orderstatus IN ('O', 'P', 'F')), true) AS all_known, coalesce(bool_and(o_orderstatus = 'O') FILTER (WHERE o_orderkey < 0), true) AS all_of_none FROM orders")
 def all_match(df):
-    known = relational.all_match(df, F.col("o_orderstatus").isin("O", "P", "F"), "all_known")
-    none = relational.all_match(df.where("o_orderkey < 0"), F.col("o_orderstatus") == "O", "all_of_none")
-    return known.join(none, F.lit(True))
+    known, none = F.col("o_orderstatus").isin("O", "P", "F"), (F.col("o_orderkey") >= 0) | (F.col("o_orderstatus") == "O")  # of no rows, all match
+    return relational.all_match(df, all_known=known, all_of_none=none)
 
 
 @query("customer", "SELECT count(*) AS n FROM customer")
 def count_rows(df):
-    return df.agg(F.count("*").alias("n"))
+    return relational.count(df)
 
 
-@query("customer", "SELECT c_name, c_custkey FROM customer ORDER BY c_name LIMIT 1")
+@query("customer", "SELECT c_name, c_custkey FROM customer ORDER BY c_name, c_custkey LIMIT 1")
 def first_by_name(df):
-    return relational.first_by(df, "c_name").select("c_name", "c_custkey")
+    return relational.first_by(df, "c_name", "c_custkey").select("c_name", "c_custkey")
 
 
 @query(None, """SELECT r_regionkey, e.key AS key, e.value AS value FROM (

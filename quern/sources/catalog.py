@@ -16,6 +16,7 @@ SESSIONS = "session_id string NOT NULL, status string, status_explanation string
 CLUSTERS = "name string NOT NULL, status string NOT NULL, status_explanation string, s3_bucket_arn string, organization_id string, curr_cluster_instance_id string, num_sessions_running int, num_workers_running int"
 #: As they come: times are text, and an end that is not known is the empty string.
 RAW_SESSIONS = "session_id string, status string, status_explanation string, start_time string, end_time string, num_workers int"
+RAW_SESSIONS_BY_CLUSTER = f"{RAW_SESSIONS}, cluster_name string"
 RAW_CLUSTERS = "name string, status string, status_explanation string, s3_read_write_resource string, organization_id string, curr_cluster_instance_id string, num_sessions int, num_workers_in_use int"
 
 
@@ -98,7 +99,22 @@ def paged_source(name: str, schema: str, fetch: Callable[[dict, object], tuple[l
     return Source
 
 
+def pages_of(records: list[tuple], names: list[str], size: int) -> Callable[[dict, object], tuple[list[tuple], object]]:
+    """A ``fetch`` for ``paged_source`` over records held here, as a service would answer: filtered, in pages of ``size``."""
+
+    def fetch(filters: dict, cursor: object) -> tuple[list[tuple], object]:
+        at = {n: i for i, n in enumerate(names)}
+        fits = lambda r: all(r[at[c]] in v if isinstance(v, list) else r[at[c]] == v for c, v in filters.items())
+        found = [r for r in records if fits(r)]
+        start = cursor or 0
+        return found[start : start + size], start + size if start + size < len(found) else None
+
+    return fetch
+
+
 def read_paged(spark: SparkSession, source: type[DataSource]) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """The source as a DataFrame. Filters are pushed unless the user has set that otherwise."""
+    if spark.conf.get("spark.sql.python.filterPushdown.enabled", None) is None:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(source)
     return spark.read.format(source.name()).load()

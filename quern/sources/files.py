@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tomllib
 import urllib.request
 from dataclasses import dataclass
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -146,20 +146,55 @@ def log_name(session_id: str) -> str:
     return f"quern-log-for-session-{session_id}"
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file under another name and give it ``path`` when it is whole."""
+    to, fs = _fs(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(to.getParent(), f"_{to.getName()}")
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(to, False)
+    if not fs.rename(part, to):
+        raise OSError(f"could not write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at, fs = _fs(spark, path)
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _session() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
 def download_log(session_id: str, folder: str, to: str | None = None) -> str:
-    """Copy a session's log; by default to a file of its name in the home directory."""
+    """Copy a session's log from any file system to this machine; by default to a file of its name in the home directory."""
     to = to or str(Path.home() / log_name(session_id))
-    shutil.copyfile(f"{folder}/{log_name(session_id)}", to)
+    Path(to).write_text(read_text(_session(), f"{folder}/{log_name(session_id)}"))
     return to
 
 
 def print_log(session_id: str, folder: str, delete: bool = True) -> None:
     """Print a session's log, or a hint if it can't be read; then delete it if asked."""
-    path = Path(folder) / log_name(session_id)
+    spark, path = _session(), f"{folder}/{log_name(session_id)}"
     try:
-        print(path.read_text())
-    except OSError as e:
+        print(read_text(spark, path))
+    except (OSError, Py4JJavaError) as e:
         print(f"no log of session {session_id} can be read ({e}); it may not have been stored yet")
         return
     if delete:
-        path.unlink()
+        at, fs = _fs(spark, path)
+        fs.delete(at, False)
+
+
+def dispatch_tables(base: str, branch: str, packages: list[str]) -> list[str]:
+    """Where the dispatch tables of packages are on a branch of a repository of raw files at ``base``."""
+    return [f"{base.rstrip('/')}/{branch}/{p}/res/pf_dispatch_table.toml" for p in packages]

@@ -110,3 +110,22 @@ def test_threshold_comes_through_scatter(spark, monkeypatch):
     assert reference.scatter_threshold(spark, sf).count() == rows.where("l_quantity > 30").count()
     monkeypatch.setattr(spmd, "run", lambda spark, fn, n, scatter: run(spark, fn, n, {"threshold": scatter["threshold"] + 15}))
     assert reference.scatter_threshold(spark, sf).count() == rows.where("l_quantity > 45").count()
+
+
+def test_places_and_order_of_a_hot_group(spark):
+    from quern.streaming import messages
+
+    rows = [(k, "hot" if k % 10 else f"g{k % 3}", f"d{k // 2}", k * 7919 % 10_007) for k in range(5000)] + [(9999, None, "n", 20_000)]
+    df = spark.createDataFrame(rows, "id bigint, group_id string, dedup_id string, seq bigint").repartition(7)
+    got = sorted((r.seq, r["__place"]) for r in relational.places(df, "seq").collect())
+    assert [p for _, p in got] == list(range(5001))
+    assert [r.message_id for r in relational.row_numbers(df, "seq").orderBy("seq").collect()] == [str(k + 1) for k in range(5001)]
+    want, first = {}, {}
+    for id, g, d, seq in sorted(rows, key=lambda r: r[3]):
+        if (g, d) not in first:
+            first[g, d] = id
+            want[id] = want.get(("n", g), 0) + 1
+            want["n", g] = want[id]
+    assert {r.id: r.position for r in messages.in_order(df).collect()} == {k: v for k, v in want.items() if not isinstance(k, tuple)}
+    empty = df.limit(0)
+    assert messages.in_order(empty).count() == 0 and relational.row_numbers(empty, "seq").count() == 0

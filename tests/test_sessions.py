@@ -62,6 +62,29 @@ def test_sessions_by_status(engine, status):
     assert engine.get_running_sessions().count() == 0
 
 
+def test_sessions_come_in_pages_that_the_catalog_filters(engine, monkeypatch):
+    engine.page = 2
+    ids = []
+    for k in range(5):
+        ids.append(engine.start_session("c", 1))
+        engine.clock.now += 1
+    engine.end_session(ids[0])
+    rows = engine.get_sessions().collect()
+    assert sorted(r.session_id for r in rows) == sorted(ids) and engine.get_sessions().columns == [c.split()[0] for c in catalog.SESSIONS.split(", ")]
+    assert {r.end_time is None for r in rows if r.session_id != ids[0]} == {True} and next(r for r in rows if r.session_id == ids[0]).end_time > rows[0].start_time
+    assert [r.session_id for r in engine.get_sessions("c", ["running", "creating"], limit=2).collect()] == [ids[4], ids[3]]
+    asked = []
+
+    def fetch_of(records, names, size):
+        fetch = catalog_pages(records, names, size)
+        return lambda filters, cursor: ([(*r[:2], json.dumps(filters, sort_keys=True), *r[3:]) for r in fetch(filters, cursor)[0]], fetch(filters, cursor)[1])
+
+    catalog_pages = catalog.pages_of
+    monkeypatch.setattr(catalog, "pages_of", fetch_of)
+    asked = {r.status_explanation for r in engine.get_sessions("c", "running").collect()}
+    assert asked == {json.dumps({"cluster_name": "c", "status": "running"})}  # both filters reached the pages
+
+
 def test_lifecycle_and_current_session(engine):
     with pytest.raises(RuntimeError):
         engine.get_session_id()
@@ -104,14 +127,15 @@ def test_resources_are_used_again(engine):
 
 def test_run_session(engine, tmp_path, capsys):
     assert engine.run_session(lambda w: w.gather((w.rank + 1) ** 2), "c", 2, print_logs=True) == [[1, 4], None]
-    assert "2 workers" in capsys.readouterr().out and not list((tmp_path / "bucket").glob("*"))
+    assert "2 workers" in capsys.readouterr().out and not list((tmp_path / "bucket").glob("quern-log*"))
     script = tmp_path / "run_it.py"
-    script.write_text("result = worker.gather(worker.rank + 10)")
+    script.write_text("worker.log('adds ten')\nresult = worker.gather(worker.rank + 10)")
     assert engine.run_session([f"file://{script}"], "c", 2, store_logs=True) == [[10, 11], None]
     done = engine.get_sessions(status="completed").collect()
     assert len(done) == 2
     log = next((tmp_path / "bucket").glob("quern-log-for-session-*"))
     id = log.name.removeprefix("quern-log-for-session-")
+    assert log.read_text().splitlines()[1:] == ["worker 0: adds ten", "worker 1: adds ten"]
     assert open(files.download_log(id, engine.folder, str(tmp_path / "log"))).read() == log.read_text()
 
     def fail(w):
@@ -159,6 +183,102 @@ def test_environments(engine, tmp_path):
     assert s.dispatch == {"splits": {"b": 2}, "merges": {}}
 
 
+def test_environment_files_are_shipped(spark, engine, tmp_path):
+    (tmp_path / "pyproject.toml").write_text("[a]\n")
+    (tmp_path / "poetry.lock").write_text("x")
+    found = engine.get_session(engine.start_session("c", 1, project_dir=str(tmp_path))).environment
+    assert set(found["shipped"]) == {"pyproject.toml", "poetry.lock"}
+    for n, at in found["shipped"].items():
+        assert at == f"{found['hash']}/{n}" and files.read_text(spark, f"{engine.folder}/{at}") == (tmp_path / n).read_text()
+    remote = engine.get_session(engine.start_session("c", 1, url="https://example.com/r", branch="b", directory="d", dev_paths=["p"], force_pull=True)).environment
+    assert (remote["branch"], remote["directory"], remote["dev_paths"], remote["force_pull"], remote["force_sync"]) == ("b", "d", ["p"], True, False)
+
+
+def test_dispatch_by_branch_and_package(spark, tmp_path):
+    for n in ("one", "two"):
+        (tmp_path / "dev" / n / "res").mkdir(parents=True)
+        (tmp_path / "dev" / n / "res" / "pf_dispatch_table.toml").write_text(f"splits = {{}}\n{n} = 1\n")
+    e = Engine(spark, clock=Clock(), dispatch_base=f"file://{tmp_path}")
+    e.create_cluster("c")
+    s = e.get_session(e.start_session("c", 1, dispatch_packages=["one", "two"], dispatch_branch="dev", using_modules=["m"], log_initialization=True))
+    assert s.dispatch == {"splits": {}, "one": 1, "two": 1} and s.options["using_modules"] == ["m"] and "starts" in s.log[0]
+    with pytest.raises(RuntimeError, match="no place"):
+        other = Engine(spark, clock=Clock())
+        other.create_cluster("c")
+        other.start_session("c", 1, dispatch_packages=["one"])
+
+
+def test_force_update_files_takes_a_new_resource(engine):
+    def resource(**options):
+        id = engine.start_session("c", 2, **options)
+        engine.end_session(id)
+        return engine.get_session(id).resource_id
+
+    first = resource()
+    assert resource() == first and resource(force_update_files=True) != first
+
+
+def test_workers_stay_within_the_clusters_bounds(spark):
+    asked = []
+    e = Engine(spark, clock=Clock(), ask=asked.append)
+    e.create_cluster("small", min_num_workers=1, initial_num_workers=2, max_num_workers=5)
+    a = e.start_session("small", 3)
+    with pytest.raises(RuntimeError, match="5 workers at most; 6 would run"):
+        e.start_session("small", 3)
+    e.start_session("small", 2)
+    e.end_session(a)
+    assert asked == [2, 3, 5, 2]
+    e.end_all_sessions("small")
+    assert asked[-1] == 1  # the least
+    e.destroy_cluster("small")
+    assert asked[-1] == 0
+
+
+@pytest.mark.parametrize("body,held", [("JOB_FAILUREbrokenMESSAGE_END", False), ("SESSION_FAILUREbrokenMESSAGE_END", True)])
+def test_a_failure_message_ends_the_session(engine, body, held, capsys):
+    id = engine.start_session("c", 2, release_resources_after=5)
+    queue, resource = engine.get_gather_queue(), engine.get_session(id).resource_id
+    queue.send("JOB_FAILUREhalf")
+    queue.send(body)
+    assert engine.next_message(queue) == {"kind": "failed", "end": False, "text": "half"} and engine.get_session(id).status == "running"
+    with pytest.raises(messages.SessionFailed, match="broken"):
+        engine.next_message(queue)
+    s = engine.get_session(id)
+    assert (s.status, s.status_explanation, engine.current) == ("failed", "broken", None)
+    assert (engine.get_session(engine.start_session("c", 2)).resource_id == resource) == held
+    assert engine.get_sessions(status="failed").count() == 1
+
+
+def test_queue_forgets_ids_after_five_minutes():
+    clock = Clock()
+    q = messages.Queue("q", clock=clock)
+    q.send("a", "id")
+    clock.now += 299
+    q.send("b", "id")
+    clock.now += 1
+    q.send("c", "id")
+    assert (q.receive(), q.receive()) == ("a", "c") and q.items.empty() and len(q.seen) == 1
+
+
+def test_mailbox_is_a_stream(spark, tmp_path):
+    folder = str(tmp_path / "mail")
+    box = messages.Mailbox(spark, folder, clock=Clock())
+    for body, id in (("SESSION_READY", "a"), ("EVALUATION_ENDokMESSAGE_END", "b"), ("SESSION_READY", "a")):
+        box.send(body, id)
+
+    def drain(name):
+        df = messages.parsed(messages.without_repeats(messages.stream(spark, folder)))
+        q = df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted((r.body, r.kind, r.text) for r in spark.read.parquet(str(tmp_path / name)).collect())
+
+    want = [("EVALUATION_ENDokMESSAGE_END", "done", "ok"), ("SESSION_READY", "ready", None)]
+    assert drain("one") == want and drain("one") == want  # what was committed does not come again
+    assert drain("two") == want  # another reader gets all
+    box.send("noise")
+    assert drain("one") == sorted([*want, ("noise", None, None)])
+
+
 def test_paged_source(spark):
     calls = []
     pages = {None: ([("a", "running"), ("b", "failed")], 1), 1: ([("c", "running")], 2), 2: ([], None)}
