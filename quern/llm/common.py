@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -10,12 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.operators.lineage import cut, shared_folder  # noqa: F401
+
 #: Words are separated by space, tab, line feed, vertical tab, form feed and carriage return. ``bytes.split()`` splits
 #: at these six and no others, so operators split the UTF-8 bytes of a text.
 #: A side is broadcast only when it was counted and has no more rows than this; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 #: Bytes of one Arrow batch of texts.
 BATCH_BYTES = "4194304b"
+#: A bitmap's rows and 64-bit words in a row.
+MAP_ROWS, MAP_WORDS = 1 << 12, 1 << 9
 #: Rows that one bucket of a distributed prefix sum holds on average.
 BUCKET_ROWS = 20_000
 
@@ -24,28 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. A folder of this machine is taken only where none is set and Spark runs in
-    this process alone."""
-    sc = spark.sparkContext
-    now = sc._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there: lost executors cost no step before it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``small`` (cheap to count, unique by ``keys``) to ``big``; nulls in the keys match each other.
 
@@ -59,11 +40,54 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
     return big.join(renamed, on, how).drop(*(f"__small_{k}" for k in keys))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as one struct, ``__row``. Operators put their own columns beside it and select ``__row.*`` in the end, so no
+    name of theirs can meet one of ``docs``."""
+    return docs.select(F.struct("*").alias("__row"))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as keep it apart from ``taken`` in any case of letters."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
+def bitmap(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A map of 2**27 bits in which each row's keys have set one: 16 MB in 4096 rows, whatever the number of keys."""
+    h = F.xxhash64(*keys)
+    used = df.select(_map_row(h).alias("__at"), _map_word(h).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), _map_bit(h)).alias("b"))
+    none = df.sparkSession.range(MAP_ROWS * MAP_WORDS).select(F.expr(f"id % {MAP_ROWS}").alias("__at"), F.expr(f"id div {MAP_ROWS}").alias("w"), F.lit(0).cast("long").alias("b"))
+    words = used.unionByName(none).groupBy("__at", "w").agg(F.bit_or("b").alias("b"))
+    return words.groupBy("__at").agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("__bits"))
+
+
+def maybe_in(df: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``df`` whose keys have their bit set in ``marked`` (a ``bitmap``): all whose keys were put in, and few others while
+    the map is not full. The map is broadcast; nothing of ``df`` is shuffled."""
+    h = F.xxhash64(*keys)
+    hit = F.call_function("shiftrightunsigned", F.element_at("__bits", (_map_word(h) + 1).cast("int")), _map_bit(h)).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(marked), _map_row(h) == F.col("__at")).where(hit).drop("__at", "__bits")
+
+
+def _map_row(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(MAP_ROWS - 1))
+
+
+def _map_word(h: Column) -> Column:
+    return F.call_function("shiftrightunsigned", h, F.lit(12)).bitwiseAND(F.lit(MAP_WORDS - 1))
+
+
+def _map_bit(h: Column) -> Column:
+    return F.call_function("shiftrightunsigned", h, F.lit(21)).bitwiseAND(F.lit(63)).cast("int")
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches of texts. Spark's own bound of 64 MB is met several times over in a task, as buffers grow by doubling
-    and Python holds words beside bytes; a bound that the user has set stays."""
+    """Bound Arrow batches of texts, for the session, unless the user has set a bound. Spark's own bound of 64 MB is met several
+    times over in a task, as buffers grow by doubling and Python holds words beside bytes."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, BATCH_BYTES)
 
 

@@ -1,68 +1,82 @@
-"""Exact deduplication by progressive refinement: length, then a hash of a prefix, then a hash of everything."""
+"""Exact deduplication by progressive refinement: length, then a hash of a prefix, then a hash of everything.
 
-from __future__ import annotations
+All of it is expressions of Spark's own; no text leaves the JVM.
+"""
 
-import hashlib
+from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_function, cut, lookup
+from .common import BROADCAST_ROWS, bitmap, cut, lookup, maybe_in, wrapped
 
-#: Bytes of the normalised text that the second of the three tests hashes.
+#: Characters of the normalised text that the second of the three tests hashes.
 PREFIX = 128
 
 
-def normalised(texts: pa.Array) -> list[bytes]:
-    """The texts without their blanks, in UTF-8; null counts as empty."""
-    return [b"".join(b.split()) if b else b"" for b in texts.cast(pa.large_binary()).to_pylist()]
+def normalised(text: Column) -> Column:
+    """The text without its blanks; null counts as empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]", "")
 
 
-def _outline(texts: pa.Array) -> pa.Array:
-    norm = normalised(texts)
-    prefix = [xxhash.xxh64_intdigest(b[:PREFIX]) - (1 << 63) for b in norm]
-    points = pc.fill_null(pc.utf8_length(texts), 0).cast(pa.int64())
-    return pa.StructArray.from_arrays([pa.array(map(len, norm), pa.int64()), pa.array(prefix, pa.int64()), points], ["len", "prefix", "points"])
+def digest(text: Column) -> Column:
+    """SHA-256 of the normalised text."""
+    return F.sha2(normalised(text).cast("binary"), 256)
 
 
-def _digest(texts: pa.Array) -> pa.Array:
-    return pa.array([hashlib.sha256(b).hexdigest() for b in normalised(texts)], pa.string())
+def points(text: Column) -> Column:
+    """Code points of the original text."""
+    return F.length(F.coalesce(text, F.lit(""))).cast("long")
 
 
-def outline(df: DataFrame, text: str) -> Column:
-    """Struct: length of the normalised text in bytes, hash of its first bytes, code points of the original."""
-    return arrow_function(df, _outline, "struct<len:bigint,prefix:bigint,points:bigint>")(text)
+def outlined(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with __len, bytes of the normalised text, and __prefix, a hash of its first characters."""
+    norm = normalised(text)
+    return df.withColumns({"__len": F.octet_length(norm), "__prefix": F.xxhash64(F.substring(norm, 1, PREFIX))})
 
 
-def digest(df: DataFrame, text: str) -> Column:
-    """SHA-256 of the normalised text."""
-    return arrow_function(df, _digest, "string")(text)
+def survivors(rows: DataFrame) -> DataFrame:
+    """(__len, __prefix) that two or more of ``rows``, which are outlined, have. Lengths that occur once fall away before prefixes are looked at."""
+    counted = cut(rows.groupBy("__len", "__prefix").count())
+    lengths = counted.groupBy("__len").agg(F.sum("count").alias("__n")).where("__n > 1").select("__len")
+    return cut(counted.join(lengths, "__len", "left_semi").where("count > 1").select("__len", "__prefix"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each set of two or more equal texts: text_sha256, keep_id, keep_points, group_size, n_keep.
+def among(rows: DataFrame, alive: DataFrame) -> DataFrame:
+    """The outlined rows whose outline is in ``alive``. If that is too large to broadcast, a bitmap of it is, and a few rows more
+    pass; no text is shuffled either way."""
+    keys = ["__len", "__prefix"]
+    if alive.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(alive), keys, "left_semi")
+    return maybe_in(rows, cut(bitmap(alive, keys)), keys)
 
-    The first pass reads lengths and hashes of prefixes and sends on one counter for each length and prefix (lengths
-    that occur once fall away before prefixes are counted). Only rows whose length and prefix occur twice are hashed in
-    full. keep_points and keep_id belong to the row that stays: most code points, then smallest id (null ids last);
-    n_keep says how many rows tie for that, which happens only if an id repeats.
-    """
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    outlines = texts.select("*", outline(docs, "__text").alias("__o"))
-    counted = cut(outlines.groupBy(F.col("__o.len").alias("__len"), F.col("__o.prefix").alias("__prefix")).count())
-    lengths = counted.groupBy("__len").agg(F.sum("count").alias("__n")).where("__n > 1").select("__len")
-    alive = cut(counted.join(lengths, "__len", "left_semi").where("count > 1").select("__len", "__prefix"))
-    keyed = outlines.select("__id", "__text", F.col("__o.len").alias("__len"), F.col("__o.prefix").alias("__prefix"), F.col("__o.points").alias("__points"))
-    full = lookup(keyed, alive, ["__len", "__prefix"], "left_semi").select("__id", "__points", digest(docs, "__text").alias("text_sha256"))
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    rows = outlined(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), F.col("__text"))
+    alive = survivors(rows)
+    full = among(rows, alive).select("__id", points(F.col("__text")).alias("__points"), digest(F.col("__text")).alias("text_sha256"))
     # a row's rank: more code points first, then the smaller id, null ids last
     rank = F.struct((-F.col("__points")).alias("p"), F.col("__id").isNull().alias("n"), F.col("__id").alias("i"))
     best = full.groupBy("text_sha256", "__points", "__id").agg(F.count("*").alias("__n")).groupBy("text_sha256").agg(
         F.min(F.struct(rank.alias("r"), F.col("__n").alias("n"))).alias("__best"), F.sum("__n").alias("group_size")
     )
-    return cut(best.where("group_size > 1").select("text_sha256", F.col("__best.r.i").alias("keep_id"), (-F.col("__best.r.p")).alias("keep_points"), "group_size", F.col("__best.n").alias("n_keep")))
+    found = cut(best.where("group_size > 1").select("text_sha256", F.col("__best.r.i").alias("keep_id"), (-F.col("__best.r.p")).alias("keep_points"), "group_size", F.col("__best.n").alias("n_keep")))
+    return found, alive
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each set of two or more equal texts: text_sha256, keep_id, keep_points, group_size, n_keep.
+
+    The first pass reads lengths and hashes of prefixes and sends on one counter for each length and prefix. Only rows
+    whose length and prefix occur twice are hashed in full. keep_points and keep_id belong to the row that stays: most code points, then
+    smallest id (null ids last); n_keep says how many rows tie for that, which happens only if an id repeats.
+    """
+    return _groups(docs, id_col, text_col)[0]
+
+
+def _one_of_ties(rows: DataFrame, sha: str) -> DataFrame:
+    """(sha, __first): a row of each group in ``rows``, minima of whose numbers are built before the shuffle."""
+    return rows.groupBy(sha).agg(F.min("__number").alias("__first"))
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,29 +87,34 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     it. Empty input gives no rows; other columns are ignored.
     """
     found = groups(docs, id_col, text_col)
-    rows = docs.select(
-        F.col(id_col).alias("__id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("__points"), digest(docs, text_col).alias("text_sha256")
-    )
+    rows = docs.select(F.col(id_col).alias("__id"), points(F.col(text_col)).alias("__points"), digest(F.col(text_col)).alias("text_sha256"))
+    tied = found.where("n_keep > 1")
+    ties = bool(tied.limit(1).count())
+    if ties:
+        rows = cut(rows.withColumn("__number", F.monotonically_increasing_id()))
     rows = lookup(rows, found, ["text_sha256"])
     single = F.col("group_size").isNull()
     wins = single | (F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("__points") == F.col("keep_points")))
     rows = rows.withColumns({"__wins": wins, "keep_id": F.when(single, F.col("__id")).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1)).cast("long")})
-    if found.where("n_keep > 1").limit(1).count():
-        # rows that lose are dealt out by id, so no group meets in one task
-        order = Window.partitionBy("text_sha256", "__wins", "__id").orderBy("__points")
-        rows = rows.withColumn("__wins", F.col("__wins") & (F.row_number().over(order) == 1))
+    if ties:
+        first = cut(_one_of_ties(rows.where("__wins and n_keep > 1"), "text_sha256"))
+        rows = lookup(rows, first, ["text_sha256"]).withColumn("__wins", F.col("__wins") & (F.col("__first").isNull() | (F.col("__number") == F.col("__first"))))
     return rows.select(F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__wins").alias("kept"), "text_sha256")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; the choice is that of ``decisions``."""
-    found = groups(docs, id_col, text_col)
-    own = docs.columns
-    marked = docs.withColumns({"__sha": digest(docs, text_col), "__points": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")})
-    found = found.select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep_id"), F.col("keep_points").alias("__keep_points"), F.col("n_keep").alias("__n_keep"))
-    marked = lookup(marked, found, ["__sha"])
-    marked = marked.where(F.col("__n_keep").isNull() | (F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__points") == F.col("__keep_points"))))
-    if found.where("__n_keep > 1").limit(1).count():
-        tied = F.coalesce(F.col("__n_keep") > 1, F.lit(False))
-        marked = marked.where(~tied).unionByName(marked.where(tied).dropDuplicates(["__sha"]))
-    return marked.select(*own)
+    """The rows of ``docs`` that stay, with all their columns; the choice is that of ``decisions``, and of rows that tie in id and
+    text any one stays. Only texts whose outline occurs twice are hashed in full. Rows are joined to at most
+    BROADCAST_ROWS groups without a shuffle; beyond that they are shuffled once.
+    """
+    found, alive = _groups(docs, id_col, text_col)
+    rows = wrapped(docs)
+    text, own = F.col("__row")[text_col], F.col("__row")[id_col]
+    rows = lookup(outlined(rows, text), alive.withColumn("__alive", F.lit(True)), ["__len", "__prefix"])
+    rows = rows.withColumns({"__sha": F.when(F.col("__alive"), digest(text)), "__points": points(text)}).drop("__len", "__prefix", "__alive")
+    rows = lookup(rows, found.select(F.col("text_sha256").alias("__sha"), "keep_id", "keep_points", "n_keep"), ["__sha"])
+    rows = rows.where(F.col("n_keep").isNull() | (own.eqNullSafe(F.col("keep_id")) & (F.col("__points") == F.col("keep_points"))))
+    if found.where("n_keep > 1").limit(1).count():
+        tied = F.coalesce(F.col("n_keep") > 1, F.lit(False))
+        rows = rows.where(~tied).select("__row").unionByName(rows.where(tied).dropDuplicates(["__sha"]).select("__row"))
+    return rows.select("__row.*")
