@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_function, cut, lookup
+from .common import arrow_function, cut, lookup, wrapped
 
 STATS = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_lines:bigint,n_dup_lines:bigint,n_repeat_words:bigint>"
 _SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
@@ -77,9 +77,9 @@ def _stats(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], list(names))
 
 
-def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def with_stats(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` and the struct ``__s`` of counts over the whole text. Texts alone go to Python, in bounded batches."""
-    return docs.withColumn("__s", arrow_function(docs, _stats, STATS)(F.col(text_col)))
+    return docs.withColumn("__s", arrow_function(docs, _stats, STATS)(text))
 
 
 def rules(limits: Limits) -> dict[str, Column]:
@@ -101,15 +101,22 @@ def any_rule(limits: Limits) -> Column:
 
 
 def hosts(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """A row for each host: its documents, those that fail a rule, the shrunk rate, strict and blocked.
+    """A row for each host: __host, its documents, those that fail a rule, the shrunk rate, strict and blocked.
 
     The prior is a beta distribution whose mean is the rate of the whole corpus and whose weight follows, by the method
     of moments, from how far the hosts' rates differ beyond chance. A host of few documents so stays near the mean. A
-    null host is a host of its own. Counters are added up before the shuffle, so a hot host costs nothing extra.
+    null host is a host of its own. Counters are added up before the shuffle, so a hot host costs nothing extra. Sums
+    are of whole numbers and decimals, so they do not depend on the order of partitions.
     """
-    failed = with_stats(docs.select(F.col(host_col).alias("__host"), F.col(text_col).alias("__text")), "__text").select("__host", any_rule(limits).cast("long").alias("__failed"))
+    return _verdicts(with_stats(docs.select(F.col(host_col).alias("__host"), F.col(text_col).alias("__text")), "__text").select("__host", "__s"), limits)
+
+
+def _verdicts(counted: DataFrame, limits: Limits) -> DataFrame:
+    """``hosts`` from (__host, __s)."""
+    failed = counted.select("__host", any_rule(limits).cast("long").alias("__failed"))
     rates = cut(failed.groupBy("__host").agg(F.count("*").alias("__docs"), F.sum("__failed").alias("__failures")))
-    n, f, h, sq = rates.agg(F.sum("__docs"), F.sum("__failures"), F.count("*"), F.sum(F.col("__failures") * F.col("__failures") / F.col("__docs"))).first()
+    squares = (F.col("__failures") * F.col("__failures") / F.col("__docs")).cast("decimal(38,9)")
+    n, f, h, sq = rates.agg(F.sum("__docs"), F.sum("__failures"), F.count("*"), F.sum(squares).cast("double")).first()
     mean = f / n if n else 0.0
     chance = mean * (1 - mean)
     between = sq / n - mean * mean - chance * h / n if n else 0.0
@@ -118,24 +125,31 @@ def hosts(docs: DataFrame, host_col: str = "source", text_col: str = "text", lim
     return rates.withColumn("__rate", rate).withColumns({"__strict": F.col("__rate") >= limits.strict, "__blocked": F.col("__rate") >= limits.block})
 
 
-def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """``docs`` with the struct ``__s``, and __base_failed, __kept and the host's __rate, __strict, __blocked."""
-    verdicts = hosts(docs, host_col, text_col, limits).drop("__docs", "__failures").withColumnRenamed("__host", "__key")
-    rows = lookup(with_stats(docs, text_col).withColumn("__key", F.col(host_col)), verdicts, ["__key"]).drop("__key")
+def _judged(counted: DataFrame, verdicts: DataFrame, limits: Limits) -> DataFrame:
+    """Add __base_failed, __kept and the verdict's columns to rows with __host and __s; a host without a verdict is neither strict nor blocked."""
+    rows = lookup(counted, verdicts.drop("__docs", "__failures"), ["__host"])
     rule = rules(limits)
-    reject = rule["base"] | rule["symbols"] | F.col("__blocked") | (F.col("__strict") & any_rule(limits))
-    return rows.withColumns({"__base_failed": rule["base"], "__kept": ~reject})
+    host = F.coalesce("__blocked", F.lit(False)) | (F.coalesce("__strict", F.lit(False)) & any_rule(limits))
+    return rows.withColumns({"__base_failed": rule["base"], "__kept": ~(rule["base"] | rule["symbols"] | host)})
 
 
 def table_of(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """A row for each row of ``docs``: id, the counts, base_failed, host_rate, kept.
 
-    Null and empty texts have no words and fail. Repeated rows count each. Empty input gives no rows.
+    Texts are read once; their counts are cut to the shared folder. Null and empty texts have no words and fail. Repeated rows count each. Empty input gives no rows.
     """
-    own = docs.select(id_col, host_col, text_col)
-    return judged(own, host_col, text_col, limits).select(id_col, "__s.*", F.col("__base_failed").alias("base_failed"), F.round("__rate", 6).alias("host_rate"), F.col("__kept").alias("kept"))
+    own = docs.select(F.col(id_col).alias("__id"), F.col(host_col).alias("__host"), F.col(text_col).alias("__text"))
+    counted = cut(with_stats(own, "__text").select("__id", "__host", "__s"))
+    rows = _judged(counted, _verdicts(counted, limits), limits)
+    return rows.select(F.col("__id").alias(id_col), "__s.*", F.col("__base_failed").alias("base_failed"), F.round("__rate", 6).alias("host_rate"), F.col("__kept").alias("kept"))
 
 
 def keep(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    return judged(docs, host_col, text_col, limits).where("__kept").select(*docs.columns)
+    """The rows of ``docs`` that pass, with their own columns, whatever their names.
+
+    Only strict and blocked hosts are joined to the rows: by broadcast up to the limit of ``lookup``, beyond it by a shuffle.
+    """
+    verdicts = cut(hosts(docs, host_col, text_col, limits).where("__strict or __blocked"))
+    row = F.col("__row")
+    rows = wrapped(docs).select("__row", row[host_col].alias("__host"), row[text_col].alias("__text"))
+    return _judged(with_stats(rows, "__text").drop("__text"), verdicts, limits).where("__kept").select("__row.*")
