@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, arrow_function, cut, lookup, prefix_sums, range_starts
+from .common import BUCKET_ROWS, arrow_function, cut, lookup, prefix_sums, range_starts, wrapped
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -85,7 +85,7 @@ def _part(f, parts: int):
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """``docs`` with __size, __source_size, __target, __copies (0, 1 or 2), __f1 and __f2.
+    """``docs``, whose columns must not have these names, with __size, __source_size, __target, __copies (0, 1 or 2), __f1 and __f2.
 
     Each source's documents, shuffled by a hash of seed, id and text, queue up; a document's virtual finish time is
     the sum of its source's words up to it divided by the source's target, and a source whose target exceeds its size
@@ -122,5 +122,7 @@ def table_of(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The rows of the mix, with the columns of ``docs``; a document that is taken twice is there twice."""
-    rows = mixed(docs, id_col, source_col, text_col, **options).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    row = F.col("__row")
+    rows = wrapped(docs).select("__row", row[id_col].alias("id"), row[source_col].alias("source"), row[text_col].alias("text"))
+    rows = mixed(rows, "id", "source", "text", **options).where("__copies > 0")
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, wrapped
+
 SLOTS = 65_537
 SHARDS = 64
 
@@ -53,12 +55,21 @@ def place(docs: DataFrame, key: str = "doc_id", shards: list[str] | None = None,
     """``docs`` with ``slot`` (int) and ``shard`` (string) behind its own columns.
 
     The table has ``slots`` rows whatever the size of ``docs``, so it is always broadcast and no row is shuffled.
-    Null keys share one slot, repeated keys share theirs, empty input gives no rows. Columns of ``docs`` that are
-    themselves called slot or shard are replaced.
+    Null keys share one slot, repeated keys share theirs, empty input gives no rows. If ``docs`` has a column slot or shard
+    itself, that stays as it is and the new one has an underscore behind its name.
     """
     names = shards if shards is not None else [f"shard-{i:03d}" for i in range(SHARDS)]
     owner = lookup_table(names, slots)
     spark = docs.sparkSession
-    rows = spark.createDataFrame([(i, names[s]) for i, s in enumerate(owner.tolist())], "__slot int, shard string")
-    docs = docs.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
-    return docs.join(F.broadcast(rows), docs["slot"] == rows["__slot"], "left").drop("__slot")
+    table = spark.createDataFrame([(i, names[s]) for i, s in enumerate(owner.tolist())], "__slot int, __shard string")
+    rows = wrapped(docs).withColumn("__own", slot_of(F.col("__row")[key], slots))
+    slot, shard = (free_name(c, docs.columns) for c in ("slot", "shard"))
+    return rows.join(F.broadcast(table), rows["__own"] == table["__slot"], "left").select("__row.*", F.col("__own").alias(slot), F.col("__shard").alias(shard))
+
+
+def write(docs: DataFrame, path: str, key: str = "doc_id", shards: list[str] | None = None, slots: int = SLOTS) -> None:
+    """Write whole rows of ``docs`` as Parquet under ``path``, a folder for each shard, without a shuffle: a task writes one file for each
+    shard that it has rows of. The folders' names hold the shard, so rows read back have it as a column."""
+    placed = place(docs, key, shards, slots)
+    slot, shard = placed.columns[-2:]
+    placed.drop(slot).write.partitionBy(shard).parquet(path)
