@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -10,16 +11,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_function, cut, lookup
+from .common import BROADCAST_ROWS, arrow_function, cut, lookup
 
-#: A subtree is a template of its host if it stands on at least this many pages and this part of the host's pages.
-LEAST_PAGES = 8
-LEAST_PART = 0.05
-#: Hosts with templates, each with a short list of hashes, are broadcast up to this number.
-BROADCAST_HOSTS = 20_000
+#: A subtree is a template of its host if it stands on at least this many pages (inside an article: the second number), and on no fewer
+#: than the square root of the host's pages: a part that falls as a host grows.
+LEAST_PAGES = 3
+LEAST_PAGES_INSIDE = 8
+#: A shape is a template if it stands on at least this part of the host's pages and has, on average, no more than this part of a page's text.
+SHAPE_PART = 0.5
+SHAPE_TEXT = 0.2
+#: Templates of all hosts together, of 8 bytes each, are broadcast up to this number, and up to BROADCAST_ROWS hosts.
+BROADCAST_TEMPLATES = 1_000_000
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*?)/?(?:>|(?=<)|\Z)""", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)(?:>|(?=<)|\Z)""", re.S)
+_ATTR = re.compile(r"""(?:^|(?<=[\s/"']))([^\s=/>"']++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _NAME = re.compile(r"[a-z]+")
 
 #: Fixed lists of HTML elements.
@@ -31,6 +36,10 @@ CONTAINER = frozenset("div section ul ol dl table aside nav header footer form f
 DROPPED = frozenset("""nav footer aside form script style noscript template iframe svg math button select input textarea head title object canvas dialog menu
     audio video map label datalist xmp noembed noframes""".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+#: What is never shown.
+HIDDEN = frozenset("head title script style noscript template iframe noembed noframes".split())
+#: Elements whose shape may be a template also without class, id or role.
+FURNITURE = frozenset("nav footer header aside form menu".split())
 #: Words in class or id that mark something beside the article.
 MARKS = frozenset("""ad ads adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert
     newsletter subscribe subscription signup sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments reply replies
@@ -44,51 +53,88 @@ _SCOPE = frozenset("article body div section main ul ol dl table td th tr nav as
 
 
 class Node:
-    __slots__ = ("tag", "marks", "role", "children", "has_article", "key")
+    __slots__ = ("tag", "marks", "role", "children", "has_article", "up", "inside", "key", "shape")
 
-    def __init__(self, tag: str, marks: frozenset[str] = frozenset(), role: str = ""):
+    def __init__(self, tag: str, up: int = 0, inside: bool = False, marks: frozenset[str] = frozenset(), role: str = ""):
         self.tag, self.marks, self.role = tag, marks, role
         self.children: list[Node | str] = []
         self.has_article = False
-        self.key = 0
+        self.up = up  # the parent's number
+        self.inside = inside  # in an article or main
+        self.key = self.shape = 0
 
 
-def parse(html: str) -> Node:
-    """A tree of elements and raw text. Unclosed and stray tags are repaired as far as blocks need it."""
+class _Open:
+    """The open elements. Those opened since the last element of _SCOPE are counted by tag, so whether an end tag closes anything
+    is known without a search, and time is linear however deep elements nest."""
+
+    def __init__(self, root: Node):
+        self.nodes: list[tuple[Node, int]] = [(root, 0)]
+        self.all: Counter[str] = Counter()
+        self.scopes: list[tuple[str, Counter[str]]] = [("", Counter())]
+
+    def push(self, node: Node, number: int) -> None:
+        self.nodes.append((node, number))
+        self.all[node.tag] += 1
+        if node.tag in _SCOPE:
+            self.scopes.append((node.tag, Counter()))
+        else:
+            self.scopes[-1][1][node.tag] += 1
+
+    def pop(self, tags: tuple[str, ...]) -> None:
+        """Close the innermost element with one of ``tags``, and all in it."""
+        while True:
+            tag = self.nodes.pop()[0].tag
+            self.all[tag] -= 1
+            if tag in _SCOPE:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][1][tag] -= 1
+            if tag in tags:
+                return
+
+    def reaches(self, tag: str) -> bool:
+        """Whether an element with this tag is open and not outside the innermost element of _SCOPE."""
+        scope, inner = self.scopes[-1]
+        return scope == tag or inner[tag] > 0
+
+    def end(self, tag: str) -> None:
+        if self.all[tag] if tag in BLOCK else self.reaches(tag):  # an inline end tag closes nothing outside its block
+            self.pop((tag,))
+
+
+def parse(html: str) -> list[Node]:
+    """The elements in the order in which they start, the root first; their children are elements and raw text. Unclosed and stray tags are
+    repaired as far as blocks need it."""
     root = Node("#root")
-    stack = [root]
+    nodes = [root]
+    open_ = _Open(root)
+    unclosed: set[str] = set()
     at, end = 0, len(html)
     for m in iter(lambda: _TOKEN.search(html, at), None):
         start = m.start()
         if start > at:
-            stack[-1].children.append(html[at:start])
+            open_.nodes[-1][0].children.append(html[at:start])
         at = max(m.end(), start + 1)
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in _SCOPE:
-                    break  # an inline end tag closes nothing outside its block
+            open_.end(tag)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            close = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            if close is None:
+                unclosed.add(tag)
             if tag == "title" or tag == "textarea" or close:
                 at = close.end() if close else end
             if close or at >= end:
                 continue
         if tag in BLOCK or tag in _CLOSES:
             shut = _CLOSES.get(tag, ()) + (("p",) if tag in BLOCK else ())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in shut:
-                    del stack[i:]
-                    break
-                if stack[i].tag in _SCOPE:
-                    break
+            while any(map(open_.reaches, shut)):
+                open_.pop(shut)
         attrs = m[3]
         marks, role = frozenset(), ""
         if "=" in attrs:
@@ -97,16 +143,20 @@ def parse(html: str) -> Node:
             if len(named) > 1:
                 marks = frozenset(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()))
             role = found.get("role", "").lower()
-        node = Node(tag, marks, role)
-        stack[-1].children.append(node)
+        parent, up = open_.nodes[-1]
+        node = Node(tag, up, parent.inside or tag == "article" or tag == "main", marks, role)
+        parent.children.append(node)
         if tag == "article" or tag == "main":
-            for x in stack:
+            for x, _ in reversed(open_.nodes):
+                if x.has_article:
+                    break  # and so has all around it
                 x.has_article = True
-        if tag not in VOID and not m[0].endswith("/>"):
-            stack.append(node)
+        if tag not in VOID and not attrs.endswith("/"):
+            open_.push(node, len(nodes))
+        nodes.append(node)
     if at < end:
-        stack[-1].children.append(html[at:])
-    return root
+        open_.nodes[-1][0].children.append(html[at:])
+    return nodes
 
 
 def _beside(node: Node, inside: bool) -> bool:
@@ -125,62 +175,89 @@ def _beside(node: Node, inside: bool) -> bool:
     return bool(node.marks) and (bool(node.marks & MARKS) or any(m.startswith(BEGINNINGS) for m in node.marks) or not inside and "header" in node.marks)
 
 
-def keys(node: Node) -> int:
-    """Hash of a subtree: its tag, its text without blanks at the ends, and its children's hashes. Set on all nodes below."""
-    parts = [node.tag]
-    for c in node.children:
-        if isinstance(c, str):
-            t = c.strip()
-            if t:
-                parts.append(t)
-        else:
-            parts.append(f"\0{keys(c):x}")
-    node.key = xxhash.xxh64_intdigest("\1".join(parts)) - (1 << 63)
-    return node.key
+def keys(nodes: list[Node]) -> list[int]:
+    """Set on all nodes: ``key``, a hash of the subtree with its tags and text; ``shape``, a hash of its
+    tags, classes, ids and roles without text, in which equal children count once. Gives each node's letters of shown text."""
+    size = [0] * len(nodes)
+    digest = xxhash.xxh64_intdigest
+    for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
+        node = nodes[i]
+        parts, shapes = [node.tag], set()
+        shown = node.tag not in HIDDEN
+        for c in node.children:
+            if isinstance(c, str):
+                t = c.strip()
+                if t:
+                    parts.append(t)
+                    size[i] += len(t) if shown else 0
+            else:
+                parts.append(f"\0{c.key:x}")
+                shapes.add(c.shape)
+        node.key = digest("\1".join(parts)) - (1 << 63)
+        node.shape = digest("\1".join((node.tag, *sorted(node.marks), "", node.role, *(f"{x:x}" for x in sorted(shapes)))), 1) - (1 << 63)
+        if i and shown:
+            size[node.up] += size[i]
+    return size
+
+
+def _by_text(node: Node, article: bool) -> bool:
+    """Whether a subtree may be a template by its text: all blocks beside the article; inside it, containers only, never its paragraphs."""
+    if node.tag in ("html", "body", "head", "article", "main", "#root") or article and node.has_article:
+        return False
+    return node.tag in CONTAINER or node.tag in BLOCK and not (article and node.inside)
 
 
-def _candidates(node: Node, inside: bool, found: set[int]) -> None:
-    """Subtrees that could be templates: all elements beside the article; inside it, containers only, never its paragraphs."""
-    for c in node.children:
-        if isinstance(c, str):
-            continue
-        within = inside or c.tag in ("article", "main")
-        if not c.has_article and c.tag not in ("html", "body", "head", "article", "main") and (c.tag in CONTAINER or c.tag in BLOCK and not within):
-            found.add(c.key)
-        _candidates(c, within, found)
+def _by_shape(node: Node, article: bool) -> bool:
+    """Whether a subtree may be a template by its shape: containers beside the article that say what they are."""
+    if node.tag not in CONTAINER or article and (node.has_article or node.inside):
+        return False
+    return node.tag in FURNITURE or bool(node.marks) or bool(node.role)
 
 
-def subtrees(html: str | None) -> list[int]:
-    """Hashes of a page's subtrees that may be templates, each once."""
+def subtrees(html: str | None, article: bool = True) -> dict[int, int]:
+    """What a page counts for: the hashes of its subtrees that may be templates. The number beside one is -1 for a text, -2 for one inside an
+    article, and for a shape the part of the page's text that all subtrees of this shape have, in thousandths."""
     if not html:
-        return []
-    root = parse(html)
-    keys(root)
-    found: set[int] = set()
-    _candidates(root, False, found)
-    return sorted(found)
-
-
-def _articles(node: Node, inside: bool, found: list[Node]) -> None:
-    for c in node.children:
-        if not isinstance(c, str) and not _beside(c, inside):
-            if c.tag == "article":
-                found.append(c)
-            elif c.has_article or c.tag in ("html", "body", "div", "section", "main"):
-                _articles(c, inside, found)
-
-
-def _find(node: Node, tag: str) -> Node | None:
-    for c in node.children:
-        if not isinstance(c, str) and not _beside(c, False):
-            if c.tag == tag:
-                return c
-            if found := _find(c, tag):
-                return found
-    return None
-
-
-def _blocks(node: Node, inside: bool, templates: frozenset[int], out: list[str], line: list[str]) -> None:
+        return {}
+    nodes = parse(html)
+    size = keys(nodes)
+    texts: dict[int, int] = {}
+    shapes: dict[int, int] = {}
+    for node, n in zip(nodes, size):
+        if _by_text(node, article):
+            texts[node.key] = max(-2 if article and node.inside else -1, texts.get(node.key, -2))
+        if _by_shape(node, article):
+            shapes[node.shape] = shapes.get(node.shape, 0) + n
+    whole = max(1, size[0])
+    return texts | {k: min(1000, 1000 * n // whole) for k, n in shapes.items()}
+
+
+def _articles(root: Node) -> list[Node]:
+    """The outermost articles that are no comments or teasers."""
+    found, rest = [], [root]
+    while rest:
+        node = rest.pop()
+        if node.tag == "article":
+            found.append(node)
+        elif node is root or node.has_article or node.tag in ("html", "body", "div", "section", "main"):
+            rest += [c for c in reversed(node.children) if not isinstance(c, str) and not _beside(c, False)]
+    return found
+
+
+def _main(root: Node) -> list[Node]:
+    rest = [root]
+    while rest:
+        node = rest.pop()
+        if node.tag == "main":
+            return [node]
+        rest += [c for c in reversed(node.children) if not isinstance(c, str) and not _beside(c, False)]
+    return []
+
+
+def _blocks(top: Node, inside: bool, templates: frozenset[int], structure: bool) -> list[str]:
+    out: list[str] = []
+    line: list[str] = []
+
     def flush() -> None:
         if line:
             text = "".join(line)
@@ -189,51 +266,47 @@ def _blocks(node: Node, inside: bool, templates: frozenset[int], out: list[str],
                 out.append(text)
             line.clear()
 
-    for c in node.children:
-        if isinstance(c, str):
-            line.append(c)
-            continue
-        tag = c.tag
-        if tag == "br" or tag == "td" or tag == "th":
-            line.append(" ")
-        if _beside(c, inside):
-            if tag in BLOCK:
+    stack = [(iter(top.children), True, inside)]
+    while stack:
+        children, block, inside = stack[-1]
+        for c in children:
+            if isinstance(c, str):
+                line.append(c)
+                continue
+            tag = c.tag
+            if tag == "br" or tag == "td" or tag == "th":
+                line.append(" ")
+            gone = c.key in templates and _by_text(c, structure) or c.shape in templates and _by_shape(c, structure)
+            if gone or (_beside(c, inside) if structure else tag in HIDDEN):
+                if tag in BLOCK:
+                    flush()
+            elif tag in BLOCK:
                 flush()
-            continue
-        if c.key in templates and not c.has_article and (tag in CONTAINER or not inside and tag in BLOCK):
-            flush()
-            continue
-        if tag in BLOCK:
-            flush()
-            _blocks(c, inside or tag in ("article", "main"), templates, out, line)
-            flush()
-        elif c.children:
-            _blocks(c, inside, templates, out, line)
-    if node.tag in BLOCK or node.tag == "#root":
-        flush()
+                stack.append((iter(c.children), True, inside or tag == "article" or tag == "main"))
+                break
+            elif c.children:
+                stack.append((iter(c.children), False, inside))
+                break
+        else:
+            stack.pop()
+            if block:
+                flush()
+    return out
 
 
-def extract(html: str | None, templates: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, joined by two line feeds. ``templates`` are hashes of subtrees to delete.
+def extract(html: str | None, templates: frozenset[int] = frozenset(), structure: bool = True) -> str:
+    """The article's blocks, joined by two line feeds. ``templates`` are hashes of subtrees to delete, by text or by shape.
 
     Article elements that are no comments or teasers are the article; without any, main, else everything that structure
-    and templates leave over.
+    and templates leave over. Without ``structure`` templates alone decide: articles, elements such as nav, and names of classes mean nothing.
     """
     if not html:
         return ""
-    root = parse(html)
+    nodes = parse(html)
     if templates:
-        keys(root)
-    else:
-        templates = frozenset()
-    found: list[Node] = []
-    _articles(root, False, found)
-    if not found:
-        found = [x] if (x := _find(root, "main")) else []
-    out: list[str] = []
-    for node in found or [root]:
-        _blocks(node, bool(found), templates, out, [])
-    return "\n\n".join(out)
+        keys(nodes)
+    found = (_articles(nodes[0]) or _main(nodes[0])) if structure else []
+    return "\n\n".join(x for node in found or nodes[:1] for x in _blocks(node, bool(found), templates, structure))
 
 
 def host_of(url: str):
@@ -241,28 +314,36 @@ def host_of(url: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_part: float = LEAST_PART) -> DataFrame:
-    """(__host, __templates): hashes of the subtrees that recur over many of the host's pages.
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", structure: bool = True) -> DataFrame:
+    """(__host, k): the hashes of the subtrees that are templates of a host.
 
-    Each page counts a subtree once. Counts are built before the shuffle. As a template stands on at least ``least_part`` of
-    a host's pages, a host has no more of them than a page's subtrees divided by that part, however many pages it has.
+    Each page counts a subtree once. Counts are built before the shuffle, and the narrow rows of all hosts are dealt out by host and hash, so a hot
+    host costs nothing extra.
     """
-    found = arrow_function(pages, lambda x: pa.array([subtrees(h) for h in x.to_pylist()], pa.list_(pa.int64())), "array<bigint>")
-    seen = pages.select(host_of(url_col).alias("__host"), found(html_col).alias("k")).select("__host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "k")).alias("k"))
-    counts = cut(seen.groupBy("__host", "k").count())  # the null key counts pages
-    of_host = counts.where("k is null").select("__host", F.col("count").alias("n"))
-    often = counts.where(F.col("k").isNotNull() & (F.col("count") >= least_pages)).join(of_host, "__host").where(F.col("count") >= least_part * F.col("n"))
-    return cut(often.groupBy("__host").agg(F.collect_list("k").alias("__templates")))
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+    kind = pa.list_(pa.struct([("k", pa.int64()), ("s", pa.int32())]))
+    found = arrow_function(pages, lambda x: pa.array([[{"k": k, "s": s} for k, s in subtrees(h, structure).items()] for h in x.to_pylist()], kind), "array<struct<k:bigint,s:int>>")
+    page = F.array(F.struct(F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("int").alias("s")))
+    seen = pages.select(host_of(url_col).alias("__host"), F.explode(F.concat(page, found(html_col))).alias("x")).select("__host", "x.*")
+    counts = cut(seen.groupBy("__host", "k").agg(F.count("*").alias("n"), F.min("s").alias("least"), F.max("s").alias("most"), F.sum("s").alias("parts")))
+    of_host = counts.where("k is null").select("__host", F.col("n").alias("pages"))  # the null hash counts pages
+    often = lookup(counts.where("k is not null"), of_host, ["__host"])
+    by_text = (F.col("most") < 0) & (F.col("n") >= F.when(F.col("most") == -1, LEAST_PAGES).otherwise(LEAST_PAGES_INSIDE)) & (F.col("n") * F.col("n") >= F.col("pages"))
+    by_shape = (F.col("least") >= 0) & (F.col("n") >= LEAST_PAGES) & (F.col("n") >= SHAPE_PART * F.col("pages")) & (F.col("parts") <= 1000 * SHAPE_TEXT * F.col("n"))
+    return cut(often.where(by_text | by_shape).select("__host", "k"))
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", structure: bool = True) -> DataFrame:
     """A row for each row of ``pages``: id, url, text, n_chars (long: its code points).
 
     Null or empty html gives an empty text. Pages without a host share the empty host. Repeated rows give repeated rows, empty
-    input none; other columns are ignored. Html never enters a shuffle unless the hosts with templates outnumber the broadcast limit.
+    input none; other columns are ignored. Elements may nest to any depth. Html enters no shuffle unless templates or their hosts outnumber the limits of
+    the broadcast; then it is shuffled once by host, and adaptive execution splits hot hosts.
     """
-    own = pages.select(id_col, url_col, html_col)
-    rows = lookup(own.withColumn("__host", host_of(url_col)), templates(own, url_col, html_col, **options), ["__host"], most=BROADCAST_HOSTS)
+    own = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).alias("__html"))
+    rows = own.withColumn("__host", host_of("__url"))
+    all_ = templates(own, "__url", "__html", structure)
+    most = BROADCAST_ROWS if all_.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES else 0
+    rows = lookup(rows, cut(all_.groupBy("__host").agg(F.collect_list("k").alias("__templates"))), ["__host"], most=most)
     memo: dict[tuple, frozenset[int]] = {}
 
     def texts(html: pa.Array, keys_: pa.Array) -> pa.Array:
@@ -273,8 +354,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 if len(memo) > 1000:
                     memo.clear()
                 memo[t] = frozenset(t)
-            out.append(extract(h, memo[t]))
+            out.append(extract(h, memo[t], structure))
         return pa.array(out, pa.string())
 
     text = arrow_function(pages, texts, "string")
-    return rows.select(id_col, url_col, text(html_col, "__templates").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(F.col("__id").alias(id_col), F.col("__url").alias(url_col), text("__html", "__templates").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
