@@ -1,14 +1,17 @@
-"""Removal of repeated 50-byte strings: suffix arrays of shards, common prefixes, merging by binary search.
+"""Removal of repeated 50-byte strings: suffix arrays of shards, common prefixes, merging across shards by binary search.
 
-Shards are formed by content, so that equal strings meet in one shard:
+Comparing whole suffix arrays of all shards with each other would grow with the square of the shards, so what can't be shared is
+left out first, and equal strings are led to one place:
 
 1. In every window of 50 bytes the 24-byte substring of least hash is its anchor. Equal windows have equal anchors, and one
    anchor serves some 14 windows in a row, whose bytes together are a piece of 50 to 76 bytes.
 2. Hashes of anchors, five bytes each, are dealt out by bucket, and each bucket tells which of them occur in
    two or more documents. Only pieces of those go on, each different piece of a block of documents once. Anchors of very
    many documents send single windows instead, dealt out by a hash of the window, so that no bucket gets all their pieces.
-3. A bucket builds a suffix array of its pieces (several, if there are many, whose sorted windows are merged by
-   binary search), finds equal windows by common prefixes, and with them the smallest document of each window.
+3. In a bucket the pieces of each run of document blocks are a shard; a piece that an earlier shard has too stays with that one. Each
+   shard gets a suffix array by Larsson-Sadakane refinement, and equal windows inside it are found by Kasai's common prefixes.
+   The sorted windows of all shards are cut at the same places into ranges, and in each range merged by binary search, which tells the
+   smallest document of each window over all shards.
 4. Blocks of documents mark the windows that a smaller document has, and cut the bytes these cover.
 
 False equalities of hashes only send more pieces to step 3, which compares bytes.
@@ -25,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 LENGTH = 50
 ANCHOR = 24
@@ -34,8 +38,10 @@ BLOCK_BYTES = 2 << 20
 #: Bytes of text for which there is one bucket, so that its suffix array mostly stays in the processor's cache.
 BUCKET_TEXT = 1 << 20
 MOST_BUCKETS = 1 << 20
-#: Bytes of pieces in one suffix array.
-SHARD_BYTES = 4 << 20
+#: Bytes of pieces in one suffix array: what stays in the processor's cache. A usual bucket has several.
+SHARD_BYTES = 128 << 10
+#: Windows of all shards of a bucket that are merged at once, 51 bytes each.
+MERGED = 1 << 18
 DEPTH = 64
 #: An anchor that so many documents have sends single windows: they take ten times the bytes of pieces, but are spread.
 HOT_DOCS = 200_000
@@ -307,24 +313,51 @@ def _strings(raw: bytes, at: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(f"S{LENGTH + 1}")
 
 
-def merge(sides: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """Of sorted sets of strings with a number each: the least number of each string over all sets, set by set.
+def _union(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted sets of strings with a number each as one, with the least number of each string. Strings of the second are looked up in the
+    first by binary search; those not found are put in between."""
+    (x, m), (y, n) = a, b
+    at = np.searchsorted(x, y)
+    known = x[np.minimum(at, len(x) - 1)] == y
+    least = m.copy()
+    least[at[known]] = np.minimum(least[at[known]], n[known])
+    return np.insert(x, at[~known], y[~known]), np.insert(least, at[~known], n[~known])
 
-    The strings of one set are looked up in what was merged before by binary search; those not found are put in between.
-    """
-    strings, least = sides[0][0], sides[0][1].copy()
-    for s, m in sides[1:]:
-        at = np.searchsorted(strings, s)
-        inside = np.minimum(at, len(strings) - 1)
-        known = strings[inside] == s
-        np.minimum.at(least, inside[known], m[known])
-        strings, least = np.insert(strings, at[~known], s[~known]), np.insert(least, at[~known], m[~known])
+
+def merge(sides: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of sorted sets of strings with a number each: the least number of each string over all sets, set by set. Sets are merged in pairs."""
+    level = [s for s in sides if len(s[0])]
+    if not level:
+        return [m for _, m in sides]
+    while len(level) > 1:
+        level = [_union(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    strings, least = level[0]
     return [least[np.searchsorted(strings, s)] for s, _ in sides]
 
 
-def repeated(raws: list[bytes], lengths: list[np.ndarray], docs: list[np.ndarray], shard_bytes: int = SHARD_BYTES) -> list[bytes]:
-    """For each block's pieces a bit for each window: whether a smaller document has it. Equal pieces of several blocks
-    become one, with the smallest of their documents; the different ones are packed in shards."""
+def _merged(shards: list[tuple[bytes, np.ndarray, np.ndarray]], merged: int) -> list[np.ndarray]:
+    """The smallest document of each class of each shard (text, places of the classes in their order, smallest documents) over all shards. Ranges of
+    strings, the same in all shards, are merged one after another, so memory is bounded by ``merged`` windows."""
+    if len(shards) == 1:
+        return [shards[0][2]]
+    heads = []
+    for raw, at, _ in shards:
+        words = np.ndarray((len(raw) - 7,), dtype=">u8", buffer=raw, strides=(1,))
+        heads.append(words[at].astype(np.uint64))  # the first eight bytes, in order
+    every = np.sort(np.concatenate(heads))
+    edges = np.unique(every[::merged])[1:]
+    cuts = [[0, *np.searchsorted(h, edges).tolist(), len(h)] for h in heads]
+    parts: list[list[np.ndarray]] = [[] for _ in shards]
+    for k in range(len(edges) + 1):
+        found = merge([(_strings(raw, at[c[k] : c[k + 1]]), m[c[k] : c[k + 1]]) for (raw, at, m), c in zip(shards, cuts, strict=True)])
+        for p, f in zip(parts, found, strict=True):
+            p.append(f)
+    return [np.concatenate(p) for p in parts]
+
+
+def repeated(raws: list[bytes], lengths: list[np.ndarray], docs: list[np.ndarray], shard_bytes: int = SHARD_BYTES, merged: int = MERGED) -> list[bytes]:
+    """For each block's pieces a bit for each window: whether a smaller document has it. Blocks come in order. A piece of several blocks
+    stays with the first, with the smallest of its documents; runs of different pieces of ``shard_bytes`` are the shards."""
     number: dict[bytes, int] = {}
     ids = []
     for raw, n in zip(raws, lengths, strict=True):
@@ -338,12 +371,9 @@ def repeated(raws: list[bytes], lengths: list[np.ndarray], docs: list[np.ndarray
     size = np.array([len(p) for p in pieces], dtype=np.int64)
     edges = np.unique(np.searchsorted(np.cumsum(size), np.arange(shard_bytes, int(size.sum()) + shard_bytes, shard_bytes), side="right").clip(1)).tolist()
     edges = [0, *edges] if edges[-1] == len(pieces) else [0, *edges, len(pieces)]
-    shards = [(b"".join(pieces[a:b]), size[a:b], smallest[a:b]) for a, b in zip(edges, edges[1:])]
-    parts = [_shard(*s) for s in shards]
-    if len(parts) > 1:
-        least = merge([(_strings(s[0], p[1]), p[2]) for s, p in zip(shards, parts, strict=True)])
-    else:
-        least = [p[2] for p in parts]
+    raws = [b"".join(pieces[a:b]) for a, b in zip(edges, edges[1:])]
+    parts = [_shard(raw, size[a:b], smallest[a:b]) for raw, a, b in zip(raws, edges, edges[1:])]
+    least = _merged([(raw, at, m) for raw, (_, at, m) in zip(raws, parts, strict=True)], merged)
     of_window = np.concatenate([m[p[0]] for p, m in zip(parts, least, strict=True)])
     n = size - LENGTH + 1
     begin = np.cumsum(n) - n
@@ -391,14 +421,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     the bytes left over (binary: cuts can fall inside a character).
 
     Removed is each byte covered by a string of 50 bytes that also starts in a text with a smaller id, judged on the input.
-    Ids are integers. Null ids come last and take nothing from each other, nor do rows that repeat an id. Null texts
+    Ids must be integers. Null ids come last and take nothing from each other, nor do rows that repeat an id. Null texts
     are empty; texts under 50 bytes stay whole; empty input gives no rows; other columns are ignored.
-    Blocks and buckets have a set average size in bytes, so their numbers grow with the text, and the memory of a task does not.
+    Blocks and buckets have a set average size in bytes, so their numbers grow with the text, and the memory of a task does not. Rows are
+    dealt out to blocks by their number in the input, so rows that repeat an id and a text are spread too.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; ids must be integers, as the order of texts is theirs")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     bits = max(0, (min(-(-size // BUCKET_TEXT), MOST_BUCKETS) - 1).bit_length())
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.expr(f"cast(pmod(xxhash64(`{id_col}`, crc32(coalesce(cast(`{text_col}` as binary), cast('' as binary)))), {blocks}) as int)").alias("block"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.expr(f"cast(pmod(xxhash64(monotonically_increasing_id()), {blocks}) as int)").alias("block"))
     own = own.repartition("block")
     message = "block int, bucket int, a binary, b binary, c binary"
     schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -428,6 +461,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         return rows([(number, bucket, b"".join(s.pieces), np.array([len(x) for x in s.pieces], dtype=np.uint8).tobytes(), s.least.tobytes()) for bucket, s in found.items()])
 
     def fourth(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
         n = [np.frombuffer(x, dtype=np.uint8).astype(np.int64) for x in table.column("b").to_pylist()]
         answers = repeated(table.column("a").to_pylist(), n, [np.frombuffer(x, dtype=np.int64) for x in table.column("c").to_pylist()])
         return rows([(block, bucket, None, x, None) for block, bucket, x in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), answers, strict=True)])
