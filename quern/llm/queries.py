@@ -63,7 +63,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
+#: The default lookup table as text, a letter for each slot: the shard's number from "0" on.
+_OWNERS = "".join(chr(48 + s) for s in sharding.lookup_table([f"shard-{i:03d}" for i in range(sharding.SHARDS)]).tolist())
+
 ORACLES: dict[str, str] = {
+    "op4_substrings": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS place, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT r, place, k, substr(h, 2 * k + 1, 2 * (1000 + 49)) AS part FROM (SELECT *, unnest(range(0, length(h) // 2, 1000)) AS k FROM d)),
+        w AS (SELECT r, place, k + p AS p, substr(part, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(1000, length(part) // 2 - 49))) AS p FROM c WHERE length(part) >= 100)),
+        m AS (SELECT s, min(place) AS least FROM w GROUP BY s HAVING count(*) > 1),
+        g AS (SELECT DISTINCT r, p FROM w JOIN m USING (s) WHERE least < place),
+        e AS (SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > 50, true) AS fresh FROM g),
+        f AS (SELECT r, p, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS span FROM e),
+        x AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM f GROUP BY r, span),
+        y AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM x),
+        z AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS reached, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM y JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(kept || substr(h, 2 * reached + 1), h))) AS kept_sha256
+        FROM d LEFT JOIN z USING (r)""",
+    "op9_sharding": rf"""
+        WITH t AS (SELECT '{_OWNERS}' AS owners),
+        s AS (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.SLOTS})::INT AS slot FROM documents)
+        SELECT doc_id, slot, 'shard-' || lpad((ascii(substr(owners, slot + 1, 1)) - 48)::VARCHAR, 3, '0') AS shard FROM s, t""",
     "op2_quality_rules": r"""
         WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),

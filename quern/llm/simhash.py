@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_function, arrow_rows, cut, lookup
-from .components import components
+from .common import arrow_function, arrow_rows, cut, lookup, wrapped
+from .components import components, forest
 
 SHINGLE = 3
 SEED = 42
@@ -81,24 +81,6 @@ def chains(a: np.ndarray, b: np.ndarray, start: int) -> tuple[np.ndarray, np.nda
     return i[ok], j[ok]
 
 
-def forest(links: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the graph with ``n`` nodes: it connects what ``links`` connect, with n - 1 links at most."""
-    root = np.arange(n)
-    i = np.concatenate([x for x, _ in links]) if links else np.empty(0, dtype=np.int64)
-    j = np.concatenate([y for _, y in links]) if links else np.empty(0, dtype=np.int64)
-    while len(i):
-        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
-        apart = low != high
-        if not apart.any():
-            break
-        np.minimum.at(root, high[apart], low[apart])
-        while (root[root] != root).any():
-            root = root[root]
-        i, j = i[apart], j[apart]
-    at = np.flatnonzero(root != np.arange(n))
-    return at, root[at]
-
-
 def _linked(nodes: np.ndarray, fps: np.ndarray, start: int, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links (pairs of nodes) of one bucket; with ``split`` only pairs of the first ``split`` fingerprints and the rest."""
     n = len(fps)
@@ -242,11 +224,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     roots = _roots(prints, id_col)
+    rows, row = wrapped(docs), F.col("__row")
     if not prints.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count():
-        lost = cut(lookup(prints, roots, ["fp"]).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col))
-        return lookup(docs, lost, [id_col], "left_anti")
-    own = docs.columns
+        lost = cut(lookup(prints, roots, ["fp"]).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")))
+        return lookup(rows.withColumn("__id", row[id_col]), lost, ["__id"], "left_anti").select("__row.*")
     again = arrow_function(docs, lambda texts: pa.array([signed(fingerprint(b)) for b in texts.cast(pa.large_binary()).to_pylist()], pa.int64()), "bigint")
-    named = roots.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__component"))
-    marked = lookup(docs.withColumn("__fp", again(text_col)), named, ["__fp"])
-    return marked.where(F.col(id_col).eqNullSafe(F.col("__component"))).dropDuplicates(["__root"]).select(*own)
+    rows = lookup(rows.withColumn("fp", again(row[text_col])), roots, ["fp"])
+    return rows.where(row[id_col].eqNullSafe(F.col("component_id"))).dropDuplicates(["root"]).select("__row.*")

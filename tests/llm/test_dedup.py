@@ -39,6 +39,18 @@ def test_exact_against_plain(spark, documents, odd, empty):
         assert sorted(map(repr, (r.doc_id for r in kept.select("doc_id").collect()))) == sorted(repr(d) for d, _, _, k, _ in want if k)
 
 
+def test_many_survivors_go_through_a_bitmap_and_no_text_is_shuffled(documents, odd, monkeypatch):
+    docs = documents.select("doc_id", "text").union(odd.select("doc_id", "text"))
+    rows = exact.outlined(docs.select("doc_id", "text"), docs["text"])
+    alive = exact.survivors(rows)
+    few = sorted(map(repr, exact.groups(docs).collect()))
+    monkeypatch.setattr(exact, "BROADCAST_ROWS", 1)
+    passed = exact.among(rows, alive)
+    assert "hashpartitioning" not in passed._jdf.queryExecution().executedPlan().toString()
+    assert passed.join(alive, ["__len", "__prefix"], "left_semi").count() == rows.join(alive, ["__len", "__prefix"], "left_semi").count()
+    assert sorted(map(repr, exact.groups(docs).collect())) == few
+
+
 def plain_fingerprint(text):
     words = [w for w in (text or "").encode().lower().split()]
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
@@ -99,7 +111,7 @@ def test_links_of_clusters_and_large_buckets(spark, monkeypatch):
     df = spark.createDataFrame([(simhash.signed(f), simhash.signed(f)) for f in fps], "fp bigint, node bigint")
     for block in (2048, 16):
         monkeypatch.setattr(simhash, "BLOCK", block)
-        found = {r.node: r.root for r in components.components(simhash.links(df)).collect()}
+        found = {r.node: r.root for r in components.components(simhash.links(df), 0 if block == 16 else components.FEW).collect()}
         got = defaultdict(set)
         for f in fps:
             f = simhash.signed(f)
@@ -124,9 +136,11 @@ def test_chains_pass_all_pairs_within_distance():
 
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 300), (300, 200), (7, 7), (400, 401), (401, 402), (402, 400)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {**{i: 0 for i in range(1, 101)}, 300: 200, 401: 400, 402: 400}
-    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    for few in (components.FEW, 0):
+        got = {r.node: r.root for r in components.components(df, few).collect()}
+        assert got == {**{i: 0 for i in range(1, 101)}, 300: 200, 401: 400, 402: 400}
+        assert components.components(df.limit(0), few).count() == 0
 
 
 def plain_substrings(rows):
@@ -186,4 +200,49 @@ def test_shards_merge_by_binary_search():
     raws = [b"".join(p) for p in pieces]
     lengths = [np.array([len(x) for x in p]) for p in pieces]
     docs = [np.array([rng.randint(0, 99) for _ in p]) for p in pieces]
-    assert substrings.repeated(raws, lengths, docs) == substrings.repeated(raws, lengths, docs, shard_bytes=1)
+    one = substrings.repeated(raws, lengths, docs, shard_bytes=1 << 30)
+    for shard_bytes, merged in ((1, 1 << 18), (1, 7), (400, 50), (400, 1)):
+        assert substrings.repeated(raws, lengths, docs, shard_bytes, merged) == one
+
+
+def test_shards_of_the_test_data_are_merged(spark, monkeypatch):
+    """The operator's steps without Spark, with the settings it uses itself: buckets have several suffix arrays, and merging decides."""
+    rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    size = sum(len(t) for _, t in rows)
+    n = -(-size // substrings.BLOCK_BYTES)
+    bits = (-(-size // substrings.BUCKET_TEXT) - 1).bit_length()
+    blocks = [substrings.Block([i for i, _ in rows[k::n]], [t for _, t in rows[k::n]]) for k in range(n)]
+    told = [(k, *x) for k, b in enumerate(blocks) for x in substrings.outline(b, bits)]
+    keys = defaultdict(lambda: ([], [], []))
+    for bucket in {x[1] for x in told}:
+        own = [x for x in told if x[1] == bucket]
+        for (k, *_), (usual, hot) in zip(own, substrings.in_common([x[2] for x in own], [x[3] for x in own]), strict=True):
+            for list_, x in zip(keys[k], (bucket, usual, hot), strict=True):
+                list_.append(x)
+    shared = [b.shared(substrings.full_keys(keys[k][0], keys[k][1]), substrings.full_keys(keys[k][0], keys[k][2]), bits) for k, b in enumerate(blocks)]
+    merges, changed = [], []
+    merge = substrings.merge
+
+    def counted(sides):
+        found = merge(sides)
+        merges.append(len(sides))
+        changed.append(sum(int((f != m).sum()) for f, (_, m) in zip(found, sides, strict=True)))
+        return found
+
+    monkeypatch.setattr(substrings, "merge", counted)
+    answers = [{} for _ in blocks]
+    for bucket in set().union(*shared):
+        of = [k for k, s in enumerate(shared) if bucket in s]
+        found = substrings.repeated([b"".join(shared[k][bucket].pieces) for k in of], [np.array([len(p) for p in shared[k][bucket].pieces]) for k in of], [shared[k][bucket].least for k in of])
+        for k, x in zip(of, found, strict=True):
+            answers[k][bucket] = x
+    assert len(merges) > 0 and min(merges) > 1 and sum(changed) > 0
+    got = [(i, n, r, s, h) for b, s_, a in zip(blocks, shared, answers, strict=True) for i, n, r, s, h, _ in zip(*substrings.cut_out(b, substrings.marks(b, s_, a)).values(), strict=True)]
+    assert shown(got) == shown(plain_substrings([(i, t.decode()) for i, t in rows]))
+
+
+def test_substrings_refuse_other_ids(spark):
+    import pytest
+
+    with pytest.raises(TypeError, match="integers"):
+        substrings.dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import common, exact, mixing, packing, quality, sharding, simhash
@@ -226,10 +227,39 @@ def test_sharding_against_plain(documents, odd, empty):
         for r in sharding.place(df).collect():
             key = "" if r.doc_id is None else str(r.doc_id)
             slot = int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % sharding.SLOTS
-            assert r.slot == slot and r.shard == names[table[slot]]
+            assert r["slot_" if "slot" in df.columns else "slot"] == slot and r.shard == names[table[slot]]
     assert sharding.place(odd).count() == odd.count()
 
 
+def test_shards_are_written_whole(spark, odd, tmp_path):
+    sharding.write(odd, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.columns == [*odd.columns, "shard"]
+    assert sorted(map(repr, back.drop("shard").collect())) == sorted(map(repr, odd.collect()))
+    assert {(r.doc_id, r.shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in sharding.place(odd).collect()}
+
+
+def test_no_operator_changes_or_loses_a_column(spark, documents):
+    """Rows come back as they were, in columns of every name that the operators use themselves."""
+    import pathlib
+    import re
+
+    import quern.llm
+
+    names = {n for f in pathlib.Path(quern.llm.__path__[0]).glob("*.py") for n in re.findall(r"""["'](__[a-z_0-9]+|[a-z][a-z_0-9]*)["']""", f.read_text())} - set(documents.columns)
+    assert names >= {"__row", "__s", "__kept", "__size", "__sha", "slot", "shard", "keep_id", "fp", "root"}
+    docs = documents.select("*", *(F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in sorted(names | {"__key", "__fp"}))).cache()
+    docs = docs.union(docs.where("doc_id % 7 = 0"))
+    own = {repr(r) for r in docs.collect()}
+    for f in (quality.keep, exact.dedup, simhash.dedup, mixing.mix):
+        got = f(docs)
+        assert got.columns == docs.columns
+        rows = [repr(r) for r in got.collect()]
+        assert rows and own.issuperset(rows)
+    placed = sharding.place(docs)
+    assert placed.columns[:-2] == docs.columns and {repr(r) for r in placed.select(docs.columns).collect()} == own
+
+
 def test_lookup_is_the_same_by_broadcast_and_by_shuffle(spark):
     big = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (1, "d")], "k int, v string")
     small = spark.createDataFrame([(1, 10), (None, 20)], "k int, w int")
@@ -238,6 +268,89 @@ def test_lookup_is_the_same_by_broadcast_and_by_shuffle(spark):
     assert common.lookup(big, small, ["k"], "left_anti").collect()[0].v == "c"
 
 
+def plain_keep(rows):
+    """Rows of (id, text, source) that the quality rules keep."""
+    from test_text import plain_stats
+
+    facts = []
+    for d, t, s in rows:
+        n, chars, symbols, dups, repeats = plain_stats(t)
+        lines = sum(bool(x.split()) for x in (t or "").encode().split(b"\n"))
+        base, symbol = n < 10 or 100 * repeats > 20 * n, 100 * symbols > 10 * n
+        facts.append((d, t, s, base or symbol, base or symbol or 100 * dups > 30 * lines or chars < 2 * n or chars > 15 * n))
+    docs, failed = Counter(f[2] for f in facts), Counter(f[2] for f in facts if f[4])
+    n = len(facts)
+    mean = sum(failed.values()) / n
+    between = sum(failed[s] ** 2 / docs[s] for s in docs) / n - mean**2 - mean * (1 - mean) * len(docs) / n
+    weight = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6) if between > 0 else 1e6
+    rate = {s: (failed[s] + mean * weight) / (docs[s] + weight) for s in docs}
+    return [(d, t, s) for d, t, s, reject, soft in facts if not (reject or rate[s] >= 0.9 or rate[s] >= 0.35 and soft)]
+
+
+def plain_mix(rows):
+    """How often the mix takes each of the rows (id, text, source)."""
+    import hashlib
+
+    size = [len((t or "").encode().split()) for _, t, _ in rows]
+    order = [hashlib.md5(f"mix-1:{'' if d is None else d}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest() for d, t, _ in rows]
+    total = Counter()
+    for (_, _, s), n in zip(rows, size, strict=True):
+        total[s] += n
+    goal = plain_targets(total)
+    rank = {s: i for i, s in enumerate(sorted(total, key=lambda s: (s is None, (s or "").encode())))}
+    queue, reached = [], Counter()
+    for i in sorted(range(len(rows)), key=order.__getitem__):
+        s = rows[i][2]
+        reached[s] += size[i]
+        if size[i] and goal[s]:
+            queue.append((reached[s] / goal[s], rank[s], 1, order[i], i))
+            if goal[s] > total[s]:
+                queue.append(((total[s] + reached[s]) / goal[s], rank[s], 2, order[i], i))
+    taken, spent = Counter(), 0
+    for *_, i in sorted(queue):
+        spent += size[i]
+        if spent > 1.5 * sum(size):
+            break
+        taken[i] += 1
+    return taken
+
+
+def test_mixing_against_a_plain_queue(spark, documents, odd, monkeypatch):
+    docs = documents.select("doc_id", "text", "source")
+    copies = docs.where("doc_id in (3, 8)").crossJoin(spark.range(60)).drop("id")  # rows of equal id and text, of which some are taken
+    for df, bucket in ((docs, 20_000), (odd, 20_000), (docs.union(copies).repartition(5), 20_000), (docs.union(copies).repartition(3), 9)):
+        monkeypatch.setattr(common, "BUCKET_ROWS", bucket)
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+        rows = [(r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect()]
+        taken = plain_mix(rows)
+        want = Counter((d, len((t or "").encode().split()) * taken[i]) for i, (d, t, _) in enumerate(rows))
+        assert Counter((r.doc_id, r.taken) for r in mixing.table_of(df).collect()) == want
+        assert Counter(r.doc_id for r in mixing.mix(df).collect()) == sum((Counter({rows[i][0]: n}) for i, n in taken.items()), Counter())
+
+
+def test_the_mix_shuffles_no_row_of_the_documents(documents):
+    plan = mixing.mix(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
+
+
+def test_pipeline_against_a_plain_version(spark):
+    from test_dedup import plain_components, plain_exact, plain_fingerprint
+
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
+    rows = plain_keep(rows)
+    rows = [r for r, (*_, stays, _) in zip(rows, plain_exact([(d, t) for d, t, _ in rows]), strict=True) if stays]
+    root = plain_components([plain_fingerprint(t) for _, t, _ in rows])
+    least = {}
+    for (d, _, _), c in zip(rows, root, strict=True):
+        least[c] = min(least.get(c, d), d)
+    rows = [r for r, c in zip(rows, root, strict=True) if least[c] == r[0]]
+    _, plain = tokenizer()
+    want = [(rows[i][0], plain.encode(rows[i][1], add_special_tokens=False).ids + [0]) for i, n in plain_mix(rows).items() for _ in range(n)]
+    assert want
+    n = packed(corpus_pipeline.run(spark, SF).collect(), want)
+    assert n <= -(-sum(len(x) for _, x in want) // 2048) * 1.02 + 1
+
+
 def test_pipeline_against_its_stages(spark):
     """Each stage on what the one before kept, and the whole run."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

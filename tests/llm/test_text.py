@@ -12,6 +12,20 @@ from quern.llm import html_text, quality, queries, secrets, toxicity
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "labels", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def plain_stats(text):
     b = (text or "").encode()
     words = b.split()
@@ -69,6 +83,38 @@ def test_toxicity_learns_from_rows_that_are_not_held_out(spark):
     assert auc > 0.97 and accuracy > 0.97
 
 
+def test_scores_are_those_of_all_pairs(spark, documents):
+    """The model's logit is bias, weights and the products of all pairs of factors; the score is its logistic."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.fit(toxicity.sample(docs, labels, "doc_id", "text", "toxic", 20_000))
+    where = {int(b): k for k, b in enumerate(model.buckets)}
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    some = 0
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        at = sorted(where[b] for b in toxicity.Terms()(r.text).tolist() if b in where)
+        pairs = sum(float(model.factors[i] @ model.factors[j]) for n, i in enumerate(at) for j in at[:n])
+        z = model.bias + sum(model.weights[i] for i in at) + pairs
+        some += bool(pairs)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+    assert some
+
+
+def test_training_steps_follow_the_gradient():
+    """A step of the trainer's first epoch lowers the loss of the row it is taken on, also where only a pair can tell."""
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(0.1, np.arange(6, dtype=np.int32), rng.normal(0, 0.1, 6), rng.normal(0, 0.3, (6, 4)))
+    at, eps = np.array([0, 2, 5]), 1e-6
+    v = model.factors[at]
+    want = v.sum(axis=0) - v  # what the logit gains for each factor
+    for n, i in enumerate(at):
+        for k in range(4):
+            before = model.logit(at)
+            model.factors[i, k] += eps
+            assert (model.logit(at) - before) / eps == pytest.approx(want[n, k], abs=1e-4)
+            model.factors[i, k] -= eps
+
+
 def test_toxicity_does_not_read_labels_that_are_held_out(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.selectExpr("doc_id", "IF(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0, 1 - toxic, toxic) AS toxic")
@@ -165,6 +211,62 @@ def test_templates_of_a_host_go(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_counts_alone_find_the_article(spark):
+    """Articles, elements such as nav, and classes mean nothing here: what goes goes by counts over the host's pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    want = {r.page_id: html_text.extract(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in html_text.main_text(pages, structure=False).collect()}
+    plain = {r.page_id: html_text.extract(r.html, structure=False) for r in pages.collect()}
+    assert sum(plain[k] == want[k] for k in want) == 0
+    assert sum(got[k] == want[k] for k in want) > 0.97 * len(want)
+
+
+def test_templates_against_plain_counts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    host = lambda url: (url or "").split("//", 1)[-1].split("/")[0].split("?")[0].split("#")[0].lower()
+    n, seen = Counter(host(r.url) for r in rows), {}
+    for r in rows:
+        for k, s in html_text.subtrees(r.html).items():
+            seen.setdefault((host(r.url), k), []).append(s)
+    want = set()
+    for (h, k), s in seen.items():
+        if max(s) < 0:
+            found = len(s) >= (3 if max(s) == -1 else 8) and len(s) ** 2 >= n[h]
+        else:
+            found = len(s) >= 3 and 2 * len(s) >= n[h] and sum(s) <= 200 * len(s)
+        if found:
+            want.add((h, k))
+    assert want == {(r["__host"], r.k) for r in html_text.templates(pages).collect()} and len(want) > 60
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert got == {r.page_id: html_text.extract(r.html, frozenset(k for h, k in want if h == host(r.url))) for r in rows}
+
+
+def test_menus_with_a_varying_word_go_by_their_shape(spark):
+    page = lambda k: f"<html><body><div class=top><span>Shop {'abcdefghij'[k % 10]}</span><a href=/>home{k}</a></div><div class=post><h2>Story {chr(97 + k)}</h2><p>{chr(97 + k) * 300} ends</p></div><div class=extra-box>see also {chr(97 + k)}{k}</div></body></html>"
+    df = spark.createDataFrame([(k, "http://a.example/", page(k)) for k in range(20)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert got == {k: f"Story {chr(97 + k)}\n\n{chr(97 + k) * 300} ends" for k in range(20)}
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<div>" * 100_000 + "deep", "deep"), ("<b>" * 30_000 + "</i>" * 30_000 + "x", "x"), ("<i><div>" + "<b>" * 30_000 + "</i>" * 30_000 + "x", "x"),
+    ("<ul><li>" * 50_000 + "x" + "</li></ul>" * 50_000, "x"), ("<p>a" * 3 + "<article>" * 50_000 + "y", "y"), ("<noscript>" * 50_000 + "x", ""), ("<a " + "a" * 100_000 + "= >x", "x"), ("<a '" * 50_000, ""),
+], ids=["nested", "stray", "stray-in-block", "lists", "articles", "raw", "attribute", "quotes"])
+def test_deep_and_broken_pages_take_linear_time(html, text):
+    import time
+
+    began = time.perf_counter()
+    assert html_text.extract(html) == text
+    html_text.subtrees(html)
+    assert time.perf_counter() - began < 10
+
+
+def test_deep_pages_pass_through_spark(spark):
+    df = spark.createDataFrame([(k, "http://a.example/", "<div>" * 1500 * k + f"text {k}") for k in range(4)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == {k: f"text {k}" for k in range(4)}
+
+
 def test_pages_of_the_test_data(spark):
     rows = queries.op8_html_text(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
