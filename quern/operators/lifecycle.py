@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 SESSION = {None: ("creating",), "creating": ("running", "failed"), "running": ("completed", "failed"), "completed": (), "failed": ()}
 #: What may follow what: clusters.
 CLUSTER = {
-    None: ("creating",), "creating": ("running", "failed"), "updating": ("running", "failed"), "running": ("updating", "terminated", "failed"),
+    None: ("creating",), "creating": ("running", "failed"), "updating": ("running", "terminated", "failed"), "running": ("updating", "terminated", "failed"),
     "terminated": ("creating",), "failed": ("terminated",),
 }
 
 
+def step(before: str | None, after: str, steps: dict = SESSION) -> str:
+    """``after``, if it may follow ``before`` or is the same; else a ValueError."""
+    if after != before and after not in steps.get(before, ()):
+        raise ValueError(f"{after!r} may not follow {before!r}")
+    return after
+
+
 def last_status(events: DataFrame, key: str, status: str, *order: str) -> DataFrame:
     """The last status of each key. Works on streams too, in update mode."""
     return events.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias("status"))
@@ -40,7 +47,3 @@ def reuse_groups(events: DataFrame, key: str, time: str, *order: str, minutes: i
 def sessions_of_stream(events: DataFrame, key: str, time: str, minutes: int = 20, late: str = "10 minutes") -> DataFrame:
     """The streaming twin of ``reuse_groups``: start, end and events of each use, from Spark's session windows."""
     return events.withWatermark(time, late).groupBy(key, F.session_window(time, f"{int(minutes)} minutes").alias("w")).agg(F.count("*").alias("events")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
-
-
-def is_final(status: Column) -> Column:
-    return status.isin("completed", "failed")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +55,20 @@ def decode_response(status: int, body: str):
     return json.loads(body)
 
 
+def http_transport(url: str, headers: dict[str, str] | None = None, timeout: float = 30) -> Callable[[str, str], tuple[int, str]]:
+    """A transport for ``request``: POST to the method's name below ``url``. A reply with an error's status is a reply."""
+
+    def send(method: str, body: str) -> tuple[int, str]:
+        call = urllib.request.Request(f"{url.rstrip('/')}/{method}", body.encode(), {"content-type": "application/json", **(headers or {})}, method="POST")
+        try:
+            with urllib.request.urlopen(call, timeout=timeout) as reply:
+                return reply.status, reply.read().decode()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read().decode()
+
+    return send
+
+
 def request(transport: Callable[[str, str], tuple[int, str]], method: str, content: dict, debug: bool = False):
     """Send a JSON request for ``method`` (its underscores become hyphens). ``content`` is left as it is."""
     return decode_response(*transport(method.replace("_", "-"), json.dumps({**content, "debug": debug})))

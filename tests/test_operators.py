@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quern.operators import lifecycle, relational, spmd
-from quern.plans import reference
+from quern.plans import engine, reference
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,13 +21,13 @@ def norm(rows, columns):
     return sorted(repr(tuple(value(r[c]) for c in columns)) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(reference.QUERIES))
+@pytest.mark.parametrize("name", [*reference.QUERIES, *engine.QUERIES])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
-    got = reference.QUERIES[name](spark, SF)
-    want = con.execute(reference.ORACLES[name])
+    got = entry.queries()[name](spark, SF)
+    want = con.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     rows = [dict(zip(columns, r, strict=True)) for r in want.fetchall()]
     assert sorted(got.columns) == sorted(columns)

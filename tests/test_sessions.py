@@ -37,6 +37,9 @@ def test_clusters(engine):
     assert engine.get_cluster_status("c") == "terminated" and {r.name for r in engine.get_running_clusters().collect()} == {"Cluster 2"}
     with pytest.raises(RuntimeError):
         engine.wait_for_cluster("c")
+    for change in (engine.update_cluster, engine.assert_cluster_is_ready):
+        with pytest.raises(ValueError, match="may not follow 'terminated'"):
+            change("c")
     assert engine.create_cluster("c").status == "running" and engine.get_cluster_s3_bucket_name("c") == "bucket"
     engine.update_cluster("c")
     engine.assert_cluster_is_ready("c")
@@ -313,6 +316,44 @@ def test_responses():
     assert catalog.request(lambda m, c: (200, json.dumps([m, json.loads(c)])), "get_all", content, True) == ["get-all", {"x": 1, "debug": True}] and content == {"x": 1}
 
 
+@pytest.fixture
+def service():
+    """A service on this machine that tells what it got, with the status that the method's name ends with; GET gives TOML."""
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, status, body):
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def do_POST(self):
+            got = json.loads(self.rfile.read(int(self.headers["content-length"])))
+            self.answer(int(self.path[-3:]), json.dumps({"path": self.path, "got": got, "key": self.headers["x-key"]}))
+
+        def do_GET(self):
+            self.answer(200, 'a = "remote"')
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_requests_over_http(service, tmp_path):
+    send = catalog.http_transport(f"{service}/v1/", {"x-key": "k"})
+    assert catalog.request(send, "get_all_200", {"x": 1}) == {"path": "/v1/get-all-200", "got": {"x": 1, "debug": False}, "key": "k"}
+    assert catalog.request(send, "slow_504", {}) is None
+    for method, error in (("no_403", PermissionError), ("bad_500", catalog.ServiceError), ("far_502", catalog.ServiceError)):
+        with pytest.raises(error):
+            catalog.request(send, method, {})
+    (tmp_path / "own.toml").write_text("a = 1\nb = 2\n")
+    assert files.load_toml([str(tmp_path / "own.toml"), f"{service}/x.toml"]) == {"a": "remote", "b": 2}
+
+
 def test_config(tmp_path):
     path = str(tmp_path / "d" / "c.toml")
     with pytest.raises(ValueError):
