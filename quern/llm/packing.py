@@ -24,6 +24,9 @@ CAPACITY = 2048
 END = (0).to_bytes(4, "little")
 #: Strings that the vocabulary may hold as added tokens, which ``tokenizers`` looks for before anything else, begin so.
 _ADDED = "<|"
+#: Characters that are encoded at once.
+PART = 1 << 18
+_BLANK = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
 @cache
@@ -37,6 +40,15 @@ def _settled() -> re.Pattern[str]:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2])) + "]+")
 
 
+def _parts(text: str) -> Iterator[str]:
+    """``text`` cut before single blanks between letters or figures, into parts of somewhat over PART characters where there are such blanks."""
+    at = 0
+    while len(text) - at > PART and (m := _BLANK.search(text, at + PART)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 class Encoder:
     """Ids of texts under a ``tokenizers`` file, as little-endian unsigned 32-bit numbers.
 
@@ -76,15 +88,20 @@ class Encoder:
         return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text, in order."""
-        settled = _settled().fullmatch
+        """The ids of each text, in order. A byte-level vocabulary joins a blank to what follows it, so very long texts are encoded in parts
+        that start at blanks, which bounds memory."""
         for text in texts:
-            if not text:
-                yield b""
-            elif self.fast and _ADDED not in text and settled(text):
-                yield array("I", self.fast(text)).tobytes()
+            if not self.fast or text is None or len(text) <= PART:
+                yield self._ids(text or "")
             else:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                yield b"".join(map(self._ids, _parts(text)))
+
+    def _ids(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self.fast and _ADDED not in text and _settled().fullmatch(text):
+            return array("I", self.fast(text)).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @cache

@@ -96,6 +96,19 @@ def test_encoder_equals_the_tokenizer_on_all_characters():
     assert list(packing.Encoder(path).many(texts)) == want
 
 
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    path, plain = tokenizer()
+    rng = random.Random(3)
+    usual = [" ", " ", "  ", "\n", "a", "the", "'s", "12", "7 ", ".", "é", "ß", "ꟑ", "<|endoftext|>", "日本", " x"]
+    texts = ["".join(rng.choice(usual) for _ in range(2000)) for _ in range(300)] + ["a" * 5000, " " * 5000, "word " * 2000]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
+    own = packing.Encoder(path)
+    for part in (1 << 18, 50, 1):
+        monkeypatch.setattr(packing, "PART", part)
+        assert list(own.many(texts)) == want
+        assert all("".join(packing._parts(t)) == t for t in texts)
+
+
 def test_encoder_of_another_kind():
     import public_tokenizers
     from tokenizers import Tokenizer
