@@ -18,6 +18,7 @@ STATS = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_lines:bigint
 _SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
 _BLANKS = [bytes([c]) for c in b" \t\n\x0b\x0c\r"]
 WINDOW = 5
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,14 @@ def repeated_words(words: list[bytes]) -> int:
     n = len(words)
     if n <= WINDOW:
         return 0
+    # equal windows have equal sums of hashes, so a text without equal sums has no equal windows; most texts end here
+    hashes = np.fromiter(map(hash, words), dtype=np.int64, count=n).view(np.uint64)
+    sums = hashes[: n - WINDOW + 1].copy()
+    for k in range(1, WINDOW):
+        sums = sums * _ODD + hashes[k : n - WINDOW + 1 + k]
+    sums.sort()
+    if not (sums[1:] == sums[:-1]).any():
+        return 0
     number: dict[bytes, int] = defaultdict(count().__next__)
     ids = np.array([number[w] for w in words], dtype=np.uint64)
     v = len(number)
