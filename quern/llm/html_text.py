@@ -53,7 +53,7 @@ _SCOPE = frozenset("article body div section main ul ol dl table td th tr nav as
 
 
 class Node:
-    __slots__ = ("tag", "marks", "role", "children", "has_article", "up", "inside", "key", "shape")
+    __slots__ = ("tag", "marks", "role", "children", "has_article", "up", "inside", "core", "key", "shape")
 
     def __init__(self, tag: str, up: int = 0, inside: bool = False, marks: frozenset[str] = frozenset(), role: str = ""):
         self.tag, self.marks, self.role = tag, marks, role
@@ -61,6 +61,7 @@ class Node:
         self.has_article = False
         self.up = up  # the parent's number
         self.inside = inside  # in an article or main
+        self.core = False  # in the element that has half of the page's text
         self.key = self.shape = 0
 
 
@@ -175,9 +176,15 @@ def _beside(node: Node, inside: bool) -> bool:
     return bool(node.marks) and (bool(node.marks & MARKS) or any(m.startswith(BEGINNINGS) for m in node.marks) or not inside and "header" in node.marks)
 
 
+#: Shapes that a Python worker remembers, as most elements have one of few.
+_SHAPES: dict[tuple, int] = {}
+MOST_SHAPES = 20_000
+
+
 def keys(nodes: list[Node]) -> list[int]:
     """Set on all nodes: ``key``, a hash of the subtree with its tags and text; ``shape``, a hash of its
-    tags, classes, ids and roles without text, in which equal children count once. Gives each node's letters of shown text."""
+    tags, classes, ids and roles without text, in which equal children count once. Gives each node's letters of shown text, and marks
+    what is in the innermost element with half of them."""
     size = [0] * len(nodes)
     digest = xxhash.xxh64_intdigest
     for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
@@ -191,12 +198,25 @@ def keys(nodes: list[Node]) -> list[int]:
                     parts.append(t)
                     size[i] += len(t) if shown else 0
             else:
-                parts.append(f"\0{c.key:x}")
+                parts.append("\0%x" % c.key)
                 shapes.add(c.shape)
         node.key = digest("\1".join(parts)) - (1 << 63)
-        node.shape = digest("\1".join((node.tag, *sorted(node.marks), "", node.role, *(f"{x:x}" for x in sorted(shapes)))), 1) - (1 << 63)
+        kind = (node.tag, node.marks, node.role, frozenset(shapes))
+        shape = _SHAPES.get(kind)
+        if shape is None:
+            if len(_SHAPES) > MOST_SHAPES:
+                _SHAPES.clear()
+            shape = _SHAPES[kind] = digest("\1".join((node.tag, *sorted(node.marks), "", node.role, *(f"{x:x}" for x in sorted(shapes)))), 1) - (1 << 63)
+        node.shape = shape
         if i and shown:
             size[node.up] += size[i]
+    top = 0
+    for i in range(1, len(nodes)):  # down to the innermost element with half of the text
+        if nodes[i].up == top and 2 * size[i] >= size[0] > 0:
+            top = i
+    if nodes[top].tag not in ("#root", "html", "body"):
+        for node in nodes[top + 1 :]:
+            node.core = node.up == top or nodes[node.up].core
     return size
 
 
@@ -208,8 +228,9 @@ def _by_text(node: Node, article: bool) -> bool:
 
 
 def _by_shape(node: Node, article: bool) -> bool:
-    """Whether a subtree may be a template by its shape: containers beside the article that say what they are."""
-    if node.tag not in CONTAINER or article and (node.has_article or node.inside):
+    """Whether a subtree may be a template by its shape: containers beside the article that say what they are; without an article, beside the
+    element that has half of the page's text, as in it a lead or a box may have the same shape on all pages too."""
+    if node.tag not in CONTAINER or node.core or article and (node.has_article or node.inside):
         return False
     return node.tag in FURNITURE or bool(node.marks) or bool(node.role)
 

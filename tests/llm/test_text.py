@@ -221,6 +221,14 @@ def test_counts_alone_find_the_article(spark):
     assert sum(got[k] == want[k] for k in want) > 0.97 * len(want)
 
 
+def test_shapes_inside_the_main_text_stay(spark):
+    page = lambda k: f"<body><div class=top>menu {chr(97 + k)}</div><div class=content><div class=lead>In short {chr(97 + k)}</div><p>{chr(97 + k) * 200}</p><div class=box>Box {chr(97 + k)}</div></div><div class=bottom>end {chr(97 + k)}</div></body>"
+    df = spark.createDataFrame([(k, "http://a.example/", page(k)) for k in range(20)], "page_id bigint, url string, html string")
+    for structure in (True, False):
+        got = {r.page_id: r.text for r in html_text.main_text(df, structure=structure).collect()}
+        assert got == {k: f"In short {chr(97 + k)}\n\n{chr(97 + k) * 200}\n\nBox {chr(97 + k)}" for k in range(20)}
+
+
 def test_templates_against_plain_counts(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     rows = pages.collect()
