@@ -38,6 +38,8 @@ DROPPED = frozenset("""nav footer aside form script style noscript template ifra
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: What is never shown.
 HIDDEN = frozenset("head title script style noscript template iframe noembed noframes".split())
+#: What stands around containers.
+AROUND = frozenset("html body main article center".split())
 #: Elements whose shape may be a template also without class, id or role.
 FURNITURE = frozenset("nav footer header aside form menu".split())
 #: Words in class or id that mark something beside the article.
@@ -61,7 +63,7 @@ class Node:
         self.has_article = False
         self.up = up  # the parent's number
         self.inside = inside  # in an article or main
-        self.core = False  # in the element that has half of the page's text
+        self.core = False  # in the container that has half of the page's text
         self.key = self.shape = 0
 
 
@@ -184,7 +186,7 @@ MOST_SHAPES = 20_000
 def keys(nodes: list[Node]) -> list[int]:
     """Set on all nodes: ``key``, a hash of the subtree with its tags and text; ``shape``, a hash of its
     tags, classes, ids and roles without text, in which equal children count once. Gives each node's letters of shown text, and marks
-    what is in the innermost element with half of them."""
+    what is in the innermost container with half of them."""
     size = [0] * len(nodes)
     digest = xxhash.xxh64_intdigest
     for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
@@ -211,8 +213,8 @@ def keys(nodes: list[Node]) -> list[int]:
         if i and shown:
             size[node.up] += size[i]
     top = 0
-    for i in range(1, len(nodes)):  # down to the innermost element with half of the text
-        if nodes[i].up == top and 2 * size[i] >= size[0] > 0:
+    for i in range(1, len(nodes)):  # down to the innermost container with half of the text
+        if nodes[i].up == top and 2 * size[i] >= size[0] > 0 and (nodes[i].tag in CONTAINER or nodes[i].tag in AROUND):
             top = i
     if nodes[top].tag not in ("#root", "html", "body"):
         for node in nodes[top + 1 :]:
@@ -229,7 +231,7 @@ def _by_text(node: Node, article: bool) -> bool:
 
 def _by_shape(node: Node, article: bool) -> bool:
     """Whether a subtree may be a template by its shape: containers beside the article that say what they are; without an article, beside the
-    element that has half of the page's text, as in it a lead or a box may have the same shape on all pages too."""
+    container that has half of the page's text, as in it a lead or a box may have the same shape on all pages too."""
     if node.tag not in CONTAINER or node.core or article and (node.has_article or node.inside):
         return False
     return node.tag in FURNITURE or bool(node.marks) or bool(node.role)
