@@ -220,7 +220,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group the one with the smallest id.
 
-    If an id repeats, one of the rows that tie stays; a group in which no row has an id keeps one row.
+    If an id repeats, one of the rows that tie stays; a group in which no row has an id keeps one row. Only rows that tie are shuffled for that.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     roots = _roots(prints, id_col)
@@ -229,5 +229,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         lost = cut(lookup(prints, roots, ["fp"]).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")))
         return lookup(rows.withColumn("__id", row[id_col]), lost, ["__id"], "left_anti").select("__row.*")
     again = arrow_function(docs, lambda texts: pa.array([signed(fingerprint(b)) for b in texts.cast(pa.large_binary()).to_pylist()], pa.int64()), "bigint")
-    rows = lookup(rows.withColumn("fp", again(row[text_col])), roots, ["fp"])
-    return rows.where(row[id_col].eqNullSafe(F.col("component_id"))).dropDuplicates(["root"]).select("__row.*")
+    firsts = lookup(prints.withColumnRenamed(id_col, "__id"), roots, ["fp"]).where(F.col("__id").eqNullSafe(F.col("component_id")))
+    tied = cut(firsts.groupBy("root").count().where("count > 1").select("root", F.lit(True).alias("tied")))
+    roots = cut(lookup(roots, tied, ["root"]))
+    rows = lookup(rows.withColumn("fp", again(row[text_col])), roots, ["fp"]).where(row[id_col].eqNullSafe(F.col("component_id")))
+    return rows.where("tied is null").select("__row").unionByName(rows.where("tied").dropDuplicates(["root"]).select("__row")).select("__row.*")
