@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.lineage import cut
+from quern.operators.relational import running_sum, with_previous
+
 #: What may follow what: sessions.
 SESSION = {None: ("creating",), "creating": ("running", "failed"), "running": ("completed", "failed"), "completed": (), "failed": ()}
 #: What may follow what: clusters.
@@ -27,21 +30,28 @@ def last_status(events: DataFrame, key: str, status: str, *order: str) -> DataFr
 
 
 def illegal_steps(events: DataFrame, key: str, status: str, *order: str, steps: dict = SESSION) -> DataFrame:
-    """Events whose status may not follow the one before."""
-    before = F.lag(status).over(Window.partitionBy(key).orderBy(*order))
+    """Events whose status may not follow the one before, which is added as ``previous``. A key's events may lie in many tasks."""
+    rows = with_previous(events, key, *order)
+    before = F.when(F.col("__previous")[key].eqNullSafe(F.col(key)), F.col("__previous")[status])
     allowed = [F.struct(F.lit(a).cast("string").alias("a"), F.lit(b).alias("b")) for a, bs in steps.items() for b in bs]
     step = F.struct(F.col("previous").alias("a"), F.col(status).alias("b"))
     known = F.exists(F.array(*allowed), lambda x: x["a"].eqNullSafe(step["a"]) & x["b"].eqNullSafe(step["b"]))
-    return events.withColumn("previous", before).where(~known)
+    return rows.select(*events.columns, before.alias("previous")).where(~known)
 
 
 def reuse_groups(events: DataFrame, key: str, time: str, *order: str, minutes: int = 20) -> DataFrame:
     """Add ``resource``: a number, per key, of the resource that an event uses. A gap of more than ``minutes`` since the
-    event before gives a new one; no gap counts beyond that."""
-    by_time = Window.partitionBy(key).orderBy(time, *order)
-    gap = F.col(time) > F.lag(time).over(by_time) + F.expr(f"INTERVAL {int(minutes)} MINUTES")
-    fresh = F.coalesce(gap, F.lit(True)).cast("long")
-    return events.withColumn("__fresh", fresh).withColumn("resource", F.sum("__fresh").over(by_time.rowsBetween(Window.unboundedPreceding, 0))).drop("__fresh")
+    event before gives a new one; no gap counts beyond that. A key's events may lie in many tasks: new resources are counted over all keys in
+    order, less the count before the key's first."""
+    rows = with_previous(events, key, time, *order)
+    before = F.col("__previous")
+    same = F.coalesce(before[key].eqNullSafe(F.col(key)), F.lit(False))
+    gap = F.col(time) > before[time] + F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    rows = cut(rows.withColumn("__fresh", F.coalesce(~same | gap, F.lit(True)).cast("long")).drop("__previous"))
+    rows = cut(running_sum(rows, "__fresh", "__count"))
+    starts = rows.groupBy(F.col(key).alias("__key")).agg(F.min("__count").alias("__first"))
+    rows = rows.join(starts, rows[key].eqNullSafe(F.col("__key")))
+    return rows.select(*events.columns, (F.col("__count") - F.col("__first") + 1).alias("resource"))
 
 
 def sessions_of_stream(events: DataFrame, key: str, time: str, minutes: int = 20, late: str = "10 minutes") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import all_of
@@ -70,16 +70,36 @@ def row_numbers(df: DataFrame, order: str, name: str = "message_id") -> DataFram
 
 
 def places(df: DataFrame, *order: str) -> DataFrame:
-    """Add ``__place``: each row's number from 0 in the order of ``order``.
-
-    Rows are sorted by range and cut; each partition's rows are counted, and a place is the count before its partition plus the
-    place inside, which the cut rows carry. The driver gets one count for each partition, and rows are shuffled once.
-    """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered = cut(ordered.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    """Add ``__place``: each row's number from 0 in the order of ``order``."""
+    rows = ranged(df, *order)
     before, total = [], 0
-    for part, n in sorted(map(tuple, ordered.groupBy("__part").count().collect())):
+    for part, n in sorted(map(tuple, rows.groupBy("__part").count().collect())):
         before.append((part, total))
         total += n
     starts = df.sparkSession.createDataFrame(before, "__part int, __before bigint")
-    return ordered.join(F.broadcast(starts), "__part").withColumn("__place", F.col("__before") + F.col("__place")).drop("__part", "__before")
+    return rows.join(F.broadcast(starts), "__part").withColumn("__place", F.col("__before") + F.col("__place")).drop("__part", "__before")
+
+
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """The rows, sorted by range and cut, with __part, the range's number, and __place, the place in it. What runs over all rows in order can run
+    over ranges, and needs one row or number of each range for the rest: no task gets all rows of a key, and rows are shuffled once."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(rows.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+
+
+def with_previous(df: DataFrame, *order: str) -> DataFrame:
+    """``ranged`` rows and ``__previous``, the row before in the order of ``order`` as a struct (null for the first of all). The window that hands on the
+    ranges' last rows is over as many rows as there are ranges."""
+    rows = ranged(df, *order)
+    last = rows.groupBy("__part").agg(F.max_by(F.struct(*df.columns), "__place").alias("__last"))
+    last = last.withColumn("__last", F.lag("__last").over(Window.orderBy("__part")))
+    inside = F.lag(F.struct(*df.columns)).over(Window.partitionBy("__part").orderBy("__place"))
+    return rows.join(F.broadcast(last), "__part").withColumn("__previous", F.coalesce(inside, "__last")).drop("__last")
+
+
+def running_sum(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` (long) over ``ranged`` rows up to each, in their order over all ranges."""
+    sums = rows.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(value).over(Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(F.broadcast(sums.select("__part", before.alias("__before"))), "__part").withColumn(name, F.col("__before") + inside).drop("__before")

@@ -129,3 +129,32 @@ def test_places_and_order_of_a_hot_group(spark):
     assert {r.id: r.position for r in messages.in_order(df).collect()} == {k: v for k, v in want.items() if not isinstance(k, tuple)}
     empty = df.limit(0)
     assert messages.in_order(empty).count() == 0 and relational.row_numbers(empty, "seq").count() == 0
+
+
+def test_lifecycle_of_a_hot_key_over_many_ranges(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    start = datetime(2024, 1, 1)
+    rows = [(rng.choice(["hot"] * 9 + ["a", "b", None]), start + timedelta(minutes=rng.randrange(9000)), k, rng.choice(["creating", "running", "failed", "completed"])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "key string, at timestamp_ntz, id bigint, status string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # no ranges are put together
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        assert relational.ranged(df.where("key = 'hot'"), "key", "at", "id").select("__part").distinct().count() == 13
+        got = {r.id: r.resource for r in lifecycle.reuse_groups(df, "key", "at", "id", minutes=5).collect()}
+        bad = {(r.id, r.previous) for r in lifecycle.illegal_steps(df, "key", "status", "at", "id").collect()}
+        assert lifecycle.reuse_groups(df.limit(0), "key", "at", "id").count() == 0 and lifecycle.illegal_steps(df.limit(0), "key", "status", "at", "id").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, wrong, last, number = {}, set(), {}, {}
+    for key, at, id, status in sorted(rows, key=lambda r: (r[1], r[2])):
+        before = last.get(key)
+        if before is None or at > before[0] + timedelta(minutes=5):
+            number[key] = number.get(key, 0) + 1
+        want[id] = number[key]
+        if status not in lifecycle.SESSION.get(before[1] if before else None, ()):
+            wrong.add((id, before[1] if before else None))
+        last[key] = (at, status)
+    assert got == want and bad == wrong and bad
