@@ -30,16 +30,15 @@ def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     return seen.withColumn("__u", F.conv(F.substring("__order", 1, 8), 16, 10).cast("long"))
 
 
-def targets(rows: DataFrame, size: str = "__size", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """A row for each source of ``rows`` (__source and a column of words): __source, __rank, __source_size, __target.
+def targets(rows: DataFrame, budget: float, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """A row for each source of ``rows`` (__source, __words): __source, __rank, __source_size, __target.
 
-    Sources by code point, null last, take the weights in turn and divide ``share`` times the sum of all sizes. No target
+    Sources by code point, null last, take the weights in turn and divide the budget. No target
     passes ``cap`` times its source's size; what is left over is divided anew by weight. That ends at one common
     level: a source has level * weight, or its cap if that is less. Sorted by cap / weight, the capped sources stand first.
     The two windows are over sources, a row of some 50 bytes each, in one task, as ranks and levels depend on all of them.
     """
-    sums = cut(rows.groupBy("__source").agg(F.sum(size).alias("__source_size")))
-    budget = share * (sums.agg(F.sum("__source_size")).first()[0] or 0)
+    sums = cut(rows.groupBy("__source").agg(F.sum("__words").alias("__source_size")))
     by_name = Window.orderBy(F.col("__source").isNull(), "__source")
     ranked = sums.withColumn("__rank", F.row_number().over(by_name)).withColumn("__w", F.element_at(F.array(*map(F.lit, weights)), (F.col("__rank") - 1) % len(weights) + 1).cast("double"))
     ranked = ranked.withColumn("__cap", (cap * F.col("__source_size")).cast("double"))
@@ -93,8 +92,7 @@ def _ends(queued: DataFrame, fits: DataFrame, goal: DataFrame) -> DataFrame:
     how many rows of just this order it takes (__m1, __m2), and how many there are (__all1, __all2)."""
     last = cut(fits.groupBy("r", "k").agg(F.max(F.struct("o", "c")).alias("m")).select(F.col("r").alias("__rank"), "k", F.col("m.o").alias("__order"), F.col("m.c").alias("c")))
     own = queued.select("__rank", "__order", "__before", "__size", "__n")
-    tied = lookup(own, last.where("k = 1").select("__rank", "__order", F.lit(True).alias("is1")), ["__rank", "__order"])
-    tied = lookup(tied, last.where("k = 2").select("__rank", "__order", F.lit(True).alias("is2")), ["__rank", "__order"]).where("is1 or is2")
+    tied = lookup(own, last.select("__rank", "__order").distinct(), ["__rank", "__order"], "left_semi")
     tied = cut(tied.groupBy("__rank", "__order").agg(F.min("__before").alias("before"), F.max("__size").alias("size"), F.sum("__n").alias("all")))
     ends = last.join(tied, ["__rank", "__order"]).withColumn("m", F.expr("(c - before) div size"))
     of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
@@ -117,9 +115,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     """
     narrow = sized(docs.select(id_col, source_col, text_col), id_col, source_col, text_col, seed).select("__source", "__size", "__order", "__u", F.spark_partition_id().alias("__task"))
     narrow = cut(narrow.groupBy(*narrow.columns).agg(F.count("*").alias("__n")).withColumn("__words", F.col("__size") * F.col("__n")))
-    n = narrow.count()
-    goal = targets(narrow, "__words", weights, share, cap)
-    budget = share * (goal.agg(F.sum("__source_size")).first()[0] or 0)
+    n, words = narrow.agg(F.count("*"), F.sum("__words")).first()
+    budget = share * (words or 0)
+    goal = targets(narrow, budget, weights, cap)
     starts = range_starts(narrow, ["__source"], "__u", "__words", n)
     queued = lookup(prefix_sums(narrow, starts, ["__source"], "__u", ["__order", "__task"], "__words", "__sum", n), goal, ["__source"])
     queued = cut(queued.where("__size > 0 and __target > 0").select("__rank", "__source_size", "__target", "__order", "__task", "__size", "__n", (F.col("__sum") - F.col("__words")).alias("__before")))
