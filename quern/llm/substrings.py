@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -199,10 +200,13 @@ class Shared(NamedTuple):
 
 
 class Block:
-    """The texts of a block of documents, in an order that does not depend on how they came: by id, then bytes."""
+    """The texts of a block of documents, in an order that does not depend on how they came: by id, then bytes. Rows of equal id and text are
+    one, and ``times`` says how many they were."""
 
     def __init__(self, ids: list, texts: list[bytes | None]):
-        rows = sorted((_LAST if i is None else i, t or b"", i is None) for i, t in zip(ids, texts, strict=True))
+        found = Counter((_LAST if i is None else i, t or b"", i is None) for i, t in zip(ids, texts, strict=True))
+        rows = sorted(found)
+        self.times = [found[r] for r in rows]
         self.ids = [None if null else int(i) for i, _, null in rows]
         self.texts = [t for _, t, _ in rows]
         self.order = np.array([i for i, _, _ in rows], dtype=np.int64)
@@ -405,13 +409,13 @@ def cut_out(block: Block, gone: np.ndarray) -> dict[str, list]:
     covered = np.cumsum(edge)[: len(block.data)] > 0
     out: dict[str, list] = {c: [] for c in ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
     start = 0
-    for i, text, end in zip(block.ids, block.texts, block.ends.tolist(), strict=True):
+    for i, text, end, times in zip(block.ids, block.texts, block.ends.tolist(), block.times, strict=True):
         mask = covered[start:end]
         n = int(np.count_nonzero(mask))
         spans = int(np.count_nonzero(mask[1:] & ~mask[:-1])) + int(mask[0]) if n else 0
         kept = block.data[start:end][~mask].tobytes() if n else text
         for c, v in zip(out, (i, len(text), n, spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
-            out[c].append(v)
+            out[c] += [v] * times
         start = end
     return out
 
@@ -423,15 +427,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     Removed is each byte covered by a string of 50 bytes that also starts in a text with a smaller id, judged on the input.
     Ids must be integers. Null ids come last and take nothing from each other, nor do rows that repeat an id. Null texts
     are empty; texts under 50 bytes stay whole; empty input gives no rows; other columns are ignored.
-    Blocks and buckets have a set average size in bytes, so their numbers grow with the text, and the memory of a task does not. Rows are
-    dealt out to blocks by their number in the input, so rows that repeat an id and a text are spread too.
+    Blocks and buckets have a set average size in bytes, so their numbers grow with the text, and the memory of a task does not. Rows that
+    repeat an id and a text are dealt out by task, and are worked on once in a block.
     """
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; ids must be integers, as the order of texts is theirs")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     bits = max(0, (min(-(-size // BUCKET_TEXT), MOST_BUCKETS) - 1).bit_length())
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.expr(f"cast(pmod(xxhash64(monotonically_increasing_id()), {blocks}) as int)").alias("block"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.expr(f"cast(pmod(xxhash64(`{id_col}`, crc32(coalesce(cast(`{text_col}` as binary), cast('' as binary))), spark_partition_id()), {blocks}) as int)").alias("block"))
     own = own.repartition("block")
     message = "block int, bucket int, a binary, b binary, c binary"
     schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
