@@ -25,8 +25,8 @@ PAIR_ROWS = 8000
 #: Lengths of the prefixes that stand for a word's stem, beside the word.
 STEMS = (4, 5, 6)
 _TERM = re.compile(r"[^\W_]+")
-#: Terms that a Python worker remembers the buckets of at most.
-REMEMBERED = 200_000
+#: Words that a Python worker remembers the buckets of at most, some 100 bytes each.
+REMEMBERED = 500_000
 
 
 class Terms:
@@ -35,6 +35,7 @@ class Terms:
     def __init__(self, used: frozenset[int] | None = None):
         self.used = used
         self.known: dict[str, tuple[int, ...]] = {}
+        self.unused: set[str] = set()  # words none of whose buckets are used
 
     def _of(self, word: str) -> tuple[int, ...]:
         stems = (f"{n}:{word[:n]}" for n in STEMS if len(word) > n)
@@ -44,16 +45,20 @@ class Terms:
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted buckets, each once: how often a term occurs says little in texts of very different lengths."""
         words = set(_TERM.findall(text.lower())) if text else set()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) + len(self.unused) > REMEMBERED:
             self.known.clear()
+            self.unused.clear()
         known, found = self.known, set()
-        for w in words:
+        for w in words.difference(self.unused):
             b = known.get(w)
             if b is None:
-                b = known[w] = self._of(w)
-            if b:
-                found.update(b)
-        return np.array(sorted(found), dtype=np.int32)
+                b = self._of(w)
+                if not b:
+                    self.unused.add(w)
+                    continue
+                known[w] = b
+            found.update(b)
+        return np.sort(np.fromiter(found, dtype=np.int32, count=len(found)))
 
 
 @dataclass
