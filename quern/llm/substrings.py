@@ -5,8 +5,8 @@ left out first, and equal strings are led to one place:
 
 1. In every window of 50 bytes the 24-byte substring of least hash is its anchor. Equal windows have equal anchors, and one
    anchor serves some 14 windows in a row, whose bytes together are a piece of 50 to 76 bytes.
-2. Hashes of anchors, five bytes each, are dealt out by bucket, and each bucket tells which of them occur in
-   two or more documents. Only pieces of those go on, each different piece of a block of documents once. Anchors of very
+2. Hashes of anchors, five bytes each, are dealt out by group of buckets, and each group tells which of them occur in
+   two or more documents. A block and a group exchange one row a step, so rows are as many as blocks times groups, not times buckets. Only pieces of those go on, each different piece of a block of documents once. Anchors of very
    many documents send single windows instead, dealt out by a hash of the window, so that no bucket gets all their pieces.
 3. In a bucket the pieces of each run of document blocks are a shard; a piece that an earlier shard has too stays with that one. Each
    shard gets a suffix array by Larsson-Sadakane refinement, and equal windows inside it are found by Kasai's common prefixes.
@@ -34,11 +34,16 @@ from pyspark.sql.types import IntegralType
 LENGTH = 50
 ANCHOR = 24
 SPAN = LENGTH - ANCHOR + 1
-#: Bytes of text of a block of documents, on average.
+#: Bytes of text of a block of documents, on average: from this on up to BLOCK_GROWS times it, where there would be more than BLOCKS.
 BLOCK_BYTES = 2 << 20
+BLOCK_GROWS = 4
+BLOCKS = 1 << 11
 #: Bytes of text for which there is one bucket, so that its suffix array mostly stays in the processor's cache.
 BUCKET_TEXT = 1 << 20
 MOST_BUCKETS = 1 << 20
+#: Buckets come in groups of up to 2**GROUP_BITS, where there would be more than 2**LEAST_GROUPS of them.
+GROUP_BITS = 4
+LEAST_GROUPS = 9
 #: Bytes of pieces in one suffix array: what stays in the processor's cache. A usual bucket has several.
 SHARD_BYTES = 128 << 10
 #: Windows of all shards of a bucket that are merged at once, 51 bytes each.
@@ -192,11 +197,27 @@ def _anchors(data: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Shared(NamedTuple):
-    pieces: list[bytes]
+    pieces: list[bytes]  #: in the order of their buckets
     least: np.ndarray  #: the smallest document of each piece in this block
     start: np.ndarray  #: where in the block pieces occur
     doc: np.ndarray  #: the document of each occurrence
     which: np.ndarray  #: the piece of each occurrence
+    inner: np.ndarray  #: the pieces of each bucket of the group
+
+
+class Layout(NamedTuple):
+    blocks: int
+    bits: int  #: of the number of groups of buckets
+    inner: int  #: bits of the number of buckets in a group
+
+
+def layout(size: int) -> Layout:
+    """For texts of ``size`` bytes. Rows between blocks and groups are ``blocks << bits`` a step. Up to 16 GB these stay in proportion to the text, as
+    blocks or groups grow; beyond, where memory bounds both, they are a row for some 128 MB**2 of the text's square."""
+    block = min(max(BLOCK_BYTES, size // BLOCKS), BLOCK_BYTES * BLOCK_GROWS)
+    bits = max(0, (min(-(-size // BUCKET_TEXT), MOST_BUCKETS) - 1).bit_length())
+    inner = min(max(0, bits - LEAST_GROUPS), GROUP_BITS)
+    return Layout(max(1, -(-size // block)), bits - inner, inner)
 
 
 class Block:
@@ -216,28 +237,31 @@ class Block:
         self.key, self.first, self.last = anchors(self.data, self.ends)
         self.doc = np.searchsorted(self.ends, self.first, side="right")
 
-    def shared(self, keys: np.ndarray, hot: np.ndarray, bits: int) -> dict[int, Shared]:
-        """The different pieces of anchors in ``keys`` by bucket, and the windows of anchors in ``hot`` by buckets of their own
+    def shared(self, keys: np.ndarray, hot: np.ndarray, bits: int, inner: int = 0) -> dict[int, Shared]:
+        """The different pieces of anchors in ``keys`` by group of 2**inner buckets, and the windows of anchors in ``hot`` by groups of their own
         (negative numbers); ``keys`` and ``hot`` are sorted."""
         short = self.key >> np.uint64(32 - bits)
         at = np.flatnonzero(_among(short, keys))
-        bucket, start, stop = (short[at] >> _U32).astype(np.int64), self.first[at], self.last[at] + LENGTH
+        bucket, start, stop = (short[at] >> np.uint64(32 - inner)).astype(np.int64), self.first[at], self.last[at] + LENGTH
         at = np.flatnonzero(_among(short, hot))
         if len(at):
             windows = _windows(self.last[at] - self.first[at] + LENGTH, self.first[at])
-            spread = np.array([-1 - (zlib.crc32(self.raw[i : i + LENGTH]) & ((1 << bits) - 1)) for i in windows.tolist()], dtype=np.int64)
+            spread = np.array([-1 - (zlib.crc32(self.raw[i : i + LENGTH]) & ((1 << bits + inner) - 1)) for i in windows.tolist()], dtype=np.int64)
             bucket, start, stop = np.concatenate([bucket, spread]), np.concatenate([start, windows]), np.concatenate([stop, windows + LENGTH])
         order = np.lexsort((start, bucket))
         bucket, start, stop = bucket[order], start[order], stop[order]
         doc = self.order[np.searchsorted(self.ends, start, side="right")] if len(start) else start
-        edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else [0]
+        group, place = bucket >> inner, bucket & ((1 << inner) - 1)
+        edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)] if len(group) else [0]
         found, raw = {}, self.raw
         for a, b in zip(edges, edges[1:]):
             number: dict[bytes, int] = {}
             which = np.array([number.setdefault(raw[i:j], len(number)) for i, j in zip(start[a:b].tolist(), stop[a:b].tolist(), strict=True)])
             least = np.empty(len(number), dtype=np.int64)
-            least[which[::-1]] = doc[a:b][::-1]  # occurrences are in the order of documents, so a piece's first has the smallest
-            found[int(bucket[a])] = Shared(list(number), least, start[a:b], doc[a:b], which)
+            least[which[::-1]] = doc[a:b][::-1]  # a piece's occurrences are in the order of documents, so its first has the smallest
+            of = np.empty(len(number), dtype=np.int64)
+            of[which] = place[a:b]
+            found[int(group[a])] = Shared(list(number), least, start[a:b], doc[a:b], which, np.bincount(of, minlength=1 << inner))
         return found
 
 
@@ -359,16 +383,29 @@ def _merged(shards: list[tuple[bytes, np.ndarray, np.ndarray]], merged: int) ->
     return [np.concatenate(p) for p in parts]
 
 
-def repeated(raws: list[bytes], lengths: list[np.ndarray], docs: list[np.ndarray], shard_bytes: int = SHARD_BYTES, merged: int = MERGED) -> list[bytes]:
-    """For each block's pieces a bit for each window: whether a smaller document has it. Blocks come in order. A piece of several blocks
-    stays with the first, with the smallest of its documents; runs of different pieces of ``shard_bytes`` are the shards."""
+def repeated(raws: list[bytes], lengths: list[np.ndarray], docs: list[np.ndarray], shard_bytes: int = SHARD_BYTES, merged: int = MERGED, inner: list[np.ndarray] | None = None) -> list[bytes]:
+    """For each block's pieces a bit for each window: whether a smaller document has it. Blocks come in order. ``inner`` has the number of each
+    block's pieces in each bucket of the group, one bucket if there is none. Buckets are worked on one after another, each over all blocks."""
+    raw, size, own = b"".join(raws), np.concatenate(lengths), np.concatenate(docs)
+    per_block = np.array([len(x) for x in lengths])
+    many = per_block[:, None] if inner is None else np.array(inner)
+    bucket = np.repeat(np.tile(np.arange(many.shape[1]), len(many)), many.reshape(-1))
+    ends = np.cumsum(size)
+    n = size - LENGTH + 1
+    stops = np.cumsum(n)
+    removed = np.empty(int(stops[-1]), dtype=bool)
+    for at in np.split(np.argsort(bucket, kind="stable"), np.cumsum(many.sum(axis=0))[:-1]):
+        if len(at):
+            pieces = [raw[a:b] for a, b in zip((ends[at] - size[at]).tolist(), ends[at].tolist(), strict=True)]
+            removed[_windows(size[at], (stops - n)[at])] = _removed(pieces, own[at], shard_bytes, merged)
+    return [np.packbits(x).tobytes() for x in np.split(removed, stops[np.cumsum(per_block) - 1][:-1])]
+
+
+def _removed(found: list[bytes], own: np.ndarray, shard_bytes: int, merged: int) -> np.ndarray:
+    """For each window of the pieces of a bucket, with the document of each: whether a smaller document has it. A piece that is found several
+    times stays with the first, with the smallest of its documents; runs of different pieces of ``shard_bytes`` are the shards."""
     number: dict[bytes, int] = {}
-    ids = []
-    for raw, n in zip(raws, lengths, strict=True):
-        ends = np.cumsum(n).tolist()
-        ids.append(np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends], ends)]))
-    own = np.concatenate(docs)
-    which = np.concatenate(ids)
+    which = np.array([number.setdefault(p, len(number)) for p in found])
     smallest = np.full(len(number), _LAST)
     np.minimum.at(smallest, which, own)
     pieces = list(number)
@@ -381,9 +418,7 @@ def repeated(raws: list[bytes], lengths: list[np.ndarray], docs: list[np.ndarray
     of_window = np.concatenate([m[p[0]] for p, m in zip(parts, least, strict=True)])
     n = size - LENGTH + 1
     begin = np.cumsum(n) - n
-    removed = of_window[_windows(size[which], begin[which])] < np.repeat(own, n[which])
-    edges = np.cumsum([int((x - LENGTH + 1).sum()) for x in lengths])
-    return [np.packbits(x).tobytes() for x in np.split(removed, edges[:-1])]
+    return of_window[_windows(size[which], begin[which])] < np.repeat(own, n[which])
 
 
 def marks(block: Block, found: dict[int, Shared], answers: dict[int, bytes]) -> np.ndarray:
@@ -402,11 +437,10 @@ def marks(block: Block, found: dict[int, Shared], answers: dict[int, bytes]) ->
 
 def cut_out(block: Block, gone: np.ndarray) -> dict[str, list]:
     """The result of each text of the block, and with it what is left of the text."""
-    edge = np.zeros(len(block.data) + LENGTH + 1, dtype=np.int32)
-    at = np.flatnonzero(gone)
-    edge[at] += 1
-    edge[at + LENGTH] -= 1
-    covered = np.cumsum(edge)[: len(block.data)] > 0
+    edge = np.zeros(len(gone) + LENGTH, dtype=np.int8)
+    edge[: len(gone)] = gone
+    edge[LENGTH:] -= gone
+    covered = np.cumsum(edge, dtype=np.int8)[: len(block.data)] > 0  # by LENGTH windows at most
     out: dict[str, list] = {c: [] for c in ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
     start = 0
     for i, text, end, times in zip(block.ids, block.texts, block.ends.tolist(), block.times, strict=True):
@@ -427,18 +461,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     Removed is each byte covered by a string of 50 bytes that also starts in a text with a smaller id, judged on the input.
     Ids must be integers. Null ids come last and take nothing from each other, nor do rows that repeat an id. Null texts
     are empty; texts under 50 bytes stay whole; empty input gives no rows; other columns are ignored.
-    Blocks and buckets have a set average size in bytes, so their numbers grow with the text, and the memory of a task does not. Rows that
+    Blocks and groups of buckets have a bounded average size in bytes, so their numbers grow with the text, and the memory of a task does not. Rows that
     repeat an id and a text are dealt out by task, and are worked on once in a block.
     """
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; ids must be integers, as the order of texts is theirs")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    bits = max(0, (min(-(-size // BUCKET_TEXT), MOST_BUCKETS) - 1).bit_length())
+    blocks, bits, inner = layout(size)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.expr(f"cast(pmod(xxhash64(`{id_col}`, crc32(coalesce(cast(`{text_col}` as binary), cast('' as binary))), spark_partition_id()), {blocks}) as int)").alias("block"))
     own = own.repartition("block")
-    message = "block int, bucket int, a binary, b binary, c binary"
-    schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+    message = "block int, bucket int, a binary, b binary, c binary, d binary"  # bucket: the group of buckets
+    schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in "abcd")])
 
     def load(table: pa.Table) -> Block:
         return Block(table.column("id").to_pylist(), table.column("text").to_pylist())
@@ -448,11 +481,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
 
     def first(table: pa.Table) -> pa.Table:
         number = table.column("block")[0].as_py()
-        return rows([(number, bucket, h, f, None) for bucket, h, f in outline(load(table), bits)])
+        return rows([(number, bucket, h, f, None, None) for bucket, h, f in outline(load(table), bits)])
 
     def second(table: pa.Table) -> pa.Table:
         common = in_common(table.column("a").to_pylist(), table.column("b").to_pylist(), hot_docs)
-        return rows([(block, bucket, *h, None) for block, bucket, h in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), common, strict=True) if any(h)])
+        return rows([(block, bucket, *h, None, None) for block, bucket, h in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), common, strict=True) if any(h)])
 
     def common_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return tuple(full_keys(table.column("bucket").to_pylist(), table.column(c).to_pylist()) for c in "ab")
@@ -461,20 +494,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         if not texts.num_rows or not common.num_rows:
             return rows([])
         number = texts.column("block")[0].as_py()
-        found = load(texts).shared(*common_keys(common), bits)
-        return rows([(number, bucket, b"".join(s.pieces), np.array([len(x) for x in s.pieces], dtype=np.uint8).tobytes(), s.least.tobytes()) for bucket, s in found.items()])
+        found = load(texts).shared(*common_keys(common), bits, inner)
+        return rows([(number, bucket, b"".join(s.pieces), np.array([len(x) for x in s.pieces], dtype=np.uint8).tobytes(), s.least.tobytes(), s.inner.astype("<u4").tobytes()) for bucket, s in found.items()])
 
     def fourth(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         n = [np.frombuffer(x, dtype=np.uint8).astype(np.int64) for x in table.column("b").to_pylist()]
-        answers = repeated(table.column("a").to_pylist(), n, [np.frombuffer(x, dtype=np.int64) for x in table.column("c").to_pylist()])
-        return rows([(block, bucket, None, x, None) for block, bucket, x in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), answers, strict=True)])
+        least, each = ([np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()] for c, t in (("c", np.int64), ("d", "<u4")))
+        answers = repeated([x.as_buffer() for x in table.column("a")], n, least, inner=each)
+        return rows([(block, bucket, None, x, None, None) for block, bucket, x in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), answers, strict=True)])
 
     def fifth(texts: pa.Table, facts: pa.Table) -> pa.Table:
         block = load(texts) if texts.num_rows else Block([], [])
         asked = facts.filter(pa.compute.is_valid(facts.column("a")))
         told = facts.filter(pa.compute.is_null(facts.column("a")))
-        found = block.shared(*common_keys(asked), bits)
+        found = block.shared(*common_keys(asked), bits, inner)
         gone = marks(block, found, dict(zip(told.column("bucket").to_pylist(), told.column("b").to_pylist(), strict=True)))
         out = cut_out(block, gone)
         if not with_text:

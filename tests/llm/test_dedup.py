@@ -176,6 +176,31 @@ def test_substrings_against_plain(documents, odd, empty, monkeypatch):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in kept)
 
 
+def test_substrings_by_groups_of_buckets(documents, odd, monkeypatch):
+    """Several buckets in a group, of usual pieces and of single windows, and blocks that grow."""
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    for df, block, text, hot in ((documents, 20_000, 5_000, 200_000), (documents, 20_000, 5_000, 3), (odd, 5_000, 1_000, 2)):
+        for name, value in (("BLOCK_BYTES", block), ("BUCKET_TEXT", text), ("LEAST_GROUPS", 1), ("GROUP_BITS", 3), ("BLOCKS", 4)):
+            monkeypatch.setattr(substrings, name, value)
+        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        size = sum(len((t or "").encode()) for _, t in rows)
+        assert substrings.layout(size).inner == 3 and substrings.layout(size).blocks < -(-size // block)
+        got = [tuple(r) for r in substrings.dedup(df, hot_docs=hot).select(*columns).collect()]
+        assert shown(got) == shown(plain_substrings(rows))
+
+
+def test_substrings_rows_follow_the_text():
+    """Rows that blocks send, by the settings for 1, 10 and 51 GB of text, on a block of that size: as many for each GB."""
+    rng = np.random.default_rng(5)
+    sent = []
+    for size in (1 << 30, 10 << 30, 51 << 30):
+        blocks, bits, inner = substrings.layout(size)
+        found = substrings.outline(substrings.Block([1], [rng.bytes(size // blocks)]), bits)
+        assert size >> bits + inner <= substrings.BUCKET_TEXT and size / blocks <= 8 << 20 and size >> bits <= 16 << 20
+        sent.append(len(found) * blocks / (size >> 30))
+    assert max(sent) <= 600_000
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(2)
     for alphabet in (b"ab", b"\0a", bytes(range(256)), b"a"):
