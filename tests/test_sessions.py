@@ -151,6 +151,56 @@ def test_run_session(engine, tmp_path, capsys):
         engine.get_session_id()
 
 
+def test_files_may_go_once_they_are_shipped(engine, tmp_path):
+    from pyspark import SparkFiles
+
+    own = tmp_path / "shipped.txt"
+    own.write_text("kept")
+    id = engine.start_session("c", 2, files_=[f"file://{own}"])
+    own.unlink()
+    with engine.tagged(id) as spark:  # no task has fetched it before
+        assert spark.sparkContext.parallelize(range(2), 2).map(lambda _: open(SparkFiles.get("shipped.txt")).read()).collect() == ["kept"] * 2
+    own.write_text("kept")
+    assert engine.get_session(engine.start_session("c", 2, files_=[str(own)])).files == ["shipped.txt"]
+    own.write_text("other")
+    with pytest.raises(ValueError, match="another file 'shipped.txt'"):
+        engine.start_session("c", 2, files_=[str(own)])
+    assert engine.spark.sparkContext.parallelize(range(2), 2).count() == 2
+
+
+def test_code_may_change_between_runs(engine, tmp_path):
+    for n in (1, 2):
+        (tmp_path / "helper_of_run.py").write_text(f"value = {n}\n")
+        (tmp_path / "edited.py").write_text(f"import helper_of_run\nresult = helper_of_run.value, {n}\n")
+        assert engine.run_session([str(tmp_path / "helper_of_run.py"), str(tmp_path / "edited.py")], "c", 2) == [(n, n)] * 2
+    (tmp_path / "edited.py").unlink()
+    assert engine.spark.sparkContext.parallelize(range(8), 4).count() == 8 and engine.sessions[list(engine.sessions)[-1]].files == ["helper_of_run.py", "edited.py"]
+
+
+def test_runs_on_a_cluster_leave_nothing_to_fetch(tmp_path):
+    """Executors that took no part in a run fetch added files with their first task, when the query's own are gone."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import pyspark
+
+    code = (
+        "from pyspark.sql import SparkSession\nimport __spark_entry__\n"
+        f"spark = SparkSession.builder.master('local-cluster[3,1,1024]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}/shared').getOrCreate()\n"
+        "for _ in range(2):\n    print(__spark_entry__.queries()['session_runs'](spark, '').repartition(12).count())\n"
+    )
+    at, home = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), tmp_path / "home"
+    (home / "work").mkdir(parents=True)  # executors' folders are made in Spark's home
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "PYSPARK_DRIVER"))} | {"SPARK_SCALA_VERSION": "2.13", "SPARK_HOME": str(home), "PYTHONPATH": os.pathsep.join([at, *os.environ.get("PYTHONPATH", "").split(os.pathsep)])}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert done.stdout.split() == ["2", "2"], done.stderr[-3000:]
+
+
 def test_end_session_stops_its_jobs(engine):
     id, seen = engine.start_session("c", 2), []
 
