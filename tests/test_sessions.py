@@ -348,6 +348,53 @@ def test_paged_source(spark):
     assert [r.id for r in df.where("id = 'x'").collect()] == ["x"] and not calls
 
 
+def test_rows_of_pages_are_read_by_their_own_tasks(spark):
+    import pyarrow as pa
+
+    names = ["id", "status"]
+
+    def fetch(filters, cursor):
+        row, page = cursor
+        return [pa.RecordBatch.from_pydict({"id": [f"{row}{page}"], "status": [json.dumps(filters)]})], (row, page + 1) if page < 2 else None
+
+    def read(name, rows):
+        return catalog.read_paged(spark, catalog.paged_source(name, "id string, status string", fetch, ("id",), lambda filters: [(r, 0) for r in rows]))
+
+    df = read("paged_rows", "xyz")
+    assert df.rdd.getNumPartitions() == 3 and sorted(r.id for r in df.select(*names).collect()) == [f"{r}{p}" for r in "xyz" for p in range(3)]
+    assert {r.status for r in df.where("id = 'x1'").select("status").collect()} == {'{"id": "x1"}'}
+    assert read("paged_none", "").count() == 0
+
+
+def test_session_pages_hold_little_of_any_size(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+
+    rows = spark.range(0, 600_000, 1, 1).selectExpr(
+        "IF(id = 599996, null, id) AS o_orderkey", "element_at(array('O', 'F', 'P', 'X', null), CAST(id % 5 AS INT) + 1) AS o_orderstatus",
+        "IF(id % 7 = 0, null, timestamp_micros(1700000000000000 + id)) AS o_orderdate",
+    )
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    rows.limit(0).write.parquet(str(tmp_path / "none" / "orders.parquet"))
+    seen, paged_source = [], catalog.paged_source
+
+    def walked(name, schema, fetch, pushed, starts):
+        for cursor in starts({}):
+            while cursor is not None:
+                page, cursor = fetch({}, cursor)
+                seen.append((cursor, sum(len(b) for b in page)))
+        return paged_source(name, schema, fetch, pushed, starts)
+
+    monkeypatch.setattr(catalog, "paged_source", walked)
+    got = __spark_entry__.queries()["session_pages"](spark, str(tmp_path)).collect()
+    assert sum(n for _, n in seen) == 600_000 and max(n for _, n in seen) <= 200_000 and sum(c is None for c, _ in seen) == 2  # pages are small, and of two files
+    want = rows.where("o_orderstatus IN ('O', 'F')").selectExpr(
+        "CAST(o_orderkey AS STRING) AS session_id", "IF(o_orderstatus = 'O', 'running', 'completed') AS status", "CAST(o_orderdate AS timestamp_ntz) AS start_time",
+        "CAST(IF(o_orderstatus = 'O', null, o_orderdate + INTERVAL 1 DAY) AS timestamp_ntz) AS end_time",
+    ).orderBy("start_time", ascending=False).limit(200)
+    assert got == want.collect() and len(got) == 200
+    assert __spark_entry__.queries()["session_pages"](spark, str(tmp_path / "none")).collect() == []
+
+
 def test_records(spark):
     raw = spark.createDataFrame([("a", "running", None, "2024-01-01T00:00:00", "", 2)], catalog.RAW_SESSIONS)
     assert catalog.sessions(raw).first().asDict() == {"session_id": "a", "status": "running", "status_explanation": None, "start_time": datetime(2024, 1, 1), "end_time": None, "num_workers": 2}
